@@ -1,0 +1,6 @@
+"""No streaming jobs: every source of this domain is a bounded file or a one-shot load.
+
+Late data is handled in batch, by version resolution and negative-step
+detection in ``weekwatch.operators.cumulative`` and by the upserts in
+``weekwatch.operators.upsert``.
+"""
