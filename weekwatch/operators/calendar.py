@@ -81,25 +81,18 @@ def monthly_to_weekly(monthly: DataFrame, calendar: DataFrame, value: str = "ano
 def step_back(rows: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
     """Year and week ``steps`` weeks earlier, crossing years by their real length.
 
-    ``rows`` holds (keys, anio, semana, n_semanas). The target is null when the
-    year it falls in, or a year on the way, has no rows for the key.
+    ``rows`` comes from ordinal_weeks, so weeks are dense within a year. The
+    target is null when a year on the way has no rows for the key.
     """
-    lengths = rows.groupBy(*keys, "anio").agg(F.max("n_semanas").alias("n_semanas"))
-    by_year = Window.partitionBy(*keys).orderBy("anio")
-    consecutive = F.lag("anio").over(by_year) == F.col("anio") - 1
-    previous = lengths.withColumn(
-        "n_previas", F.when(consecutive, F.lag("n_semanas").over(by_year))
-    ).drop("n_semanas")
-    shifted = F.col("semana") - steps
-    target_year = F.when(shifted >= 1, F.col("anio")).when(
-        F.col("n_previas") + shifted >= 1, F.col("anio") - 1
+    years = Window.partitionBy(*keys).orderBy("anio")
+    run = Window.partitionBy(*keys, "tramo").orderBy("anio", "semana")
+    target = F.lag(F.struct("anio", "semana"), steps).over(run)
+    return (
+        rows.withColumn("tramo", F.col("anio") - F.dense_rank().over(years))
+        .withColumn("previa", target)
+        .withColumns({"anio_previo": F.col("previa.anio"), "semana_previa": F.col("previa.semana")})
+        .drop("tramo", "previa")
     )
-    target_week = F.when(shifted >= 1, shifted).when(
-        F.col("n_previas") + shifted >= 1, F.col("n_previas") + shifted
-    )
-    return rows.join(previous, [*keys, "anio"]).withColumns(
-        {"anio_previo": target_year, "semana_previa": target_week}
-    ).drop("n_previas")
 
 
 def contiguous_history(rows: DataFrame, keys: Sequence[str], weeks: int, day: str = "fecha") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weekwatch.functions import calendar as cal
+from weekwatch.functions.text import strip_accents
 from weekwatch.operators import calendar as calendar_ops
 
 BASE_YEARS = (1995, 1996, 1997, 1999, 2000)
@@ -236,3 +237,52 @@ def file_name(year: Column, week: Column, version: Column) -> Column:
         suffix,
         F.lit(".pdf"),
     )
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case fact with event and source: the natural key of the case table."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey",
+        status_class(F.col("o_orderstatus")).alias("clasificacion"),
+        F.col("o_orderpriority").alias("fuente"),
+        cal.week_start(F.col("o_orderdate").cast("date")).alias("fecha"),
+    )
+    per_customer = orders.groupBy("o_custkey", "fecha", "clasificacion", "fuente").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("region")
+    )
+    return (
+        per_customer.join(customers, "o_custkey")
+        .groupBy("region", "clasificacion", "fuente", "fecha")
+        .agg(F.sum("n").alias("conteo"))
+        .select(
+            "region",
+            F.when(F.col("clasificacion") == "notificado", "ira").otherwise("dengue").alias("evento"),
+            cal.mmwr_year(F.col("fecha")).alias("anio"),
+            cal.mmwr_week(F.col("fecha")).alias("semana"),
+            "clasificacion",
+            "fuente",
+            "fecha",
+            "conteo",
+        )
+    )
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source dimension: the distinct sources facts come from."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fuente")).distinct()
+
+
+def reported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly totals per place name as differently spelled in each year."""
+    named = facts(spark, sf_dir).join(
+        F.broadcast(regions(spark, sf_dir).select("region", "nombre")), "region"
+    )
+    spelled = (
+        F.when(F.col("anio") % 3 == 0, F.concat(F.lit("Departamento de "), F.col("nombre")))
+        .when(F.col("anio") % 3 == 1, F.concat(F.lit("  "), F.upper(strip_accents(F.col("nombre")))))
+        .otherwise(F.replace("nombre", F.lit(" "), F.lit("   ")))
+    )
+    return named.groupBy("anio", spelled.alias("lugar")).agg(F.sum("conteo").alias("conteo"))
