@@ -37,3 +37,8 @@ def first_week_start(year: Column) -> Column:
     """Sunday that opens week 1 of ``year``: the week that holds the first Wednesday."""
     jan4 = F.make_date(year, F.lit(1), F.lit(4))
     return week_start(jan4)
+
+
+def start_of(year: Column, week: Column) -> Column:
+    """Sunday that opens ``week`` of ``year``."""
+    return F.date_add(first_week_start(year), (week - 1) * 7)

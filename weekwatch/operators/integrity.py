@@ -13,37 +13,48 @@ STATES = ("pendiente", "ok", "revision_manual", "error", "ausencia_esperada", "s
 FAMILIES = ("A", "B")
 
 
-def _violation(rows: DataFrame, rule: str, key: Sequence[str]) -> DataFrame:
-    return rows.groupBy(
-        F.lit(rule).alias("regla"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("clave")
-    ).agg(F.count(F.lit(1)).alias("filas"))
+NATURAL_KEY = ("region", "evento", "anio", "semana", "clasificacion", "fuente")
 
 
-def foreign_key(rows: DataFrame, dim: DataFrame, on: Sequence[str], rule: str) -> DataFrame:
-    return _violation(rows.join(dim.select(*on), list(on), "left_anti"), rule, on)
+def _text(columns: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def unique(rows: DataFrame, on: Sequence[str], rule: str) -> DataFrame:
-    return _violation(rows, rule, on).filter("filas > 1")
-
-
-def holds(rows: DataFrame, condition: Column, key: Sequence[str], rule: str) -> DataFrame:
-    """A null condition passes, as in a CHECK constraint."""
-    return _violation(rows.filter(~F.coalesce(condition, F.lit(True))), rule, key)
+def _flagged(rows: DataFrame, dim: DataFrame, on: Sequence[str], flag: str) -> DataFrame:
+    known = dim.select(*on).distinct().withColumn(flag, F.lit(True))
+    return rows.join(known, list(on), "left")
 
 
 def case_fact_violations(fact: DataFrame, calendar: DataFrame, regions: DataFrame, sources: DataFrame) -> DataFrame:
-    natural = ["region", "evento", "anio", "semana", "clasificacion", "fuente"]
-    parts = [
-        foreign_key(fact, calendar, ["anio", "semana"], "fk_calendario"),
-        foreign_key(fact, regions, ["region"], "fk_region"),
-        foreign_key(fact, sources, ["fuente"], "fk_fuente"),
-        unique(fact, natural, "clave_unica"),
-        holds(fact, F.col("clasificacion").isin(*CLASSIFICATIONS), natural, "dominio_clasificacion"),
-        holds(fact, F.col("conteo") >= 0, natural, "conteo_negativo"),
-        holds(fact, F.col("semana").between(1, 53), natural, "semana_fuera_de_rango"),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """Rule, offending key and number of rows for every broken constraint.
+
+    The fact is read once: it collapses to its natural key on the map side, the
+    catalogues flag the keys they know, and each key lists the rules it breaks.
+    """
+    keyed = fact.groupBy(*NATURAL_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("conteo") < 0).alias("negativos")
+    )
+    keyed = _flagged(keyed, calendar, ["anio", "semana"], "en_calendario")
+    keyed = _flagged(keyed, regions, ["region"], "en_regiones")
+    keyed = _flagged(keyed, sources, ["fuente"], "en_fuentes")
+
+    def rule(broken: Column, name: str, key: Sequence[str], rows: Column = F.col("n")) -> Column:
+        found = F.struct(F.lit(name).alias("regla"), _text(key).alias("clave"), rows.alias("filas"))
+        return F.when(broken, found)
+
+    rules = F.array_compact(
+        F.array(
+            rule(F.col("en_calendario").isNull(), "fk_calendario", ["anio", "semana"]),
+            rule(F.col("en_regiones").isNull(), "fk_region", ["region"]),
+            rule(F.col("en_fuentes").isNull(), "fk_fuente", ["fuente"]),
+            rule(F.col("n") > 1, "clave_unica", NATURAL_KEY),
+            rule(~F.col("clasificacion").isin(*CLASSIFICATIONS), "dominio_clasificacion", NATURAL_KEY),
+            rule(F.col("negativos") > 0, "conteo_negativo", NATURAL_KEY, F.col("negativos")),
+            rule(~F.col("semana").between(1, 53), "semana_fuera_de_rango", NATURAL_KEY),
+        )
+    )
+    return (
+        keyed.select(F.explode(rules).alias("v"))
+        .groupBy(F.col("v.regla").alias("regla"), F.col("v.clave").alias("clave"))
+        .agg(F.sum("v.filas").alias("filas"))
+    )
