@@ -187,27 +187,27 @@ def zone_distribution(channel: DataFrame, by: Sequence[str]) -> DataFrame:
     return sure.groupBy(*by).agg(*counts).withColumn("total", sum((F.col(z) for z in ZONES[1:]), F.col(ZONES[0])))
 
 
-def same_week_channel(points: DataFrame, key: str, base_years: Sequence[int], min_obs: int = 12, min_years: int = 3) -> DataFrame:
+def same_week_channel(points: DataFrame, keys: Sequence[str], base_years: Sequence[int], min_obs: int = 12, min_years: int = 3) -> DataFrame:
     """Quartiles per key, week 1..52 and described year, without neighbour weeks.
 
     The full grid is kept, empty cells included. The pool of a cell holds one
     value per other year, so ``min_obs`` of 12 is never reached with few years.
     """
     seen = points.filter(F.col("valor").isNotNull() & F.col("anio").isin(*base_years))
-    cells = pools.neighbourhoods(seen, [key], window=0)
+    cells = pools.neighbourhoods(seen, keys, window=0)
     grid = (
-        points.select(key).distinct().withColumn("semana", F.explode(F.sequence(F.lit(1), F.lit(52))))
+        points.select(*keys).distinct().withColumn("semana", F.explode(F.sequence(F.lit(1), F.lit(52))))
     )
     years = F.explode(F.array(*[F.lit(y) for y in base_years]))
     full = (
-        grid.join(cells, [key, "semana"], "left")
+        grid.join(cells, [*keys, "semana"], "left")
         .withColumn("vecinas", F.coalesce("vecinas", F.expr("array()").cast(cells.schema["vecinas"].dataType)))
         .withColumn("anio_objetivo", years)
     )
     pooled = pools.with_pool(full, F.col("anio_objetivo"), lambda year, target: year != target)
     pooled = pools.percentiles(pooled, p25=0.25, p50=0.50, p75=0.75)
     return pooled.select(
-        key,
+        *keys,
         "semana",
         "anio_objetivo",
         "n_obs",

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weekwatch.session import checkpointed
+
 
 def running_totals(
     rows: DataFrame,
@@ -24,8 +26,12 @@ def running_totals(
     ranges: int = 64,
     descending: bool = False,
 ) -> DataFrame:
-    """Sum ``totals`` per distinct ``by`` and add ``<total>_antes``, the sum over all earlier values."""
-    distinct = rows.groupBy(*groups, by).agg(*[F.sum(t).alias(t) for t in totals])
+    """Sum ``totals`` per distinct ``by``; add what comes before it and the group total.
+
+    New columns are ``<total>_antes`` and ``<total>_grupo``. The distinct values
+    are read several times, so they are checkpointed once.
+    """
+    distinct = checkpointed(rows.groupBy(*groups, by).agg(*[F.sum(t).alias(t) for t in totals]))
     quantiles = [i / ranges for i in range(1, ranges)]
     splits = distinct.agg(F.percentile_approx(by, quantiles, 1000)).scalar()
     place = F.size(F.filter("_cortes", lambda s: s < F.col(by)))
@@ -35,11 +41,18 @@ def running_totals(
         .drop("_cortes")
     )
 
-    before = Window.partitionBy(*groups, F.lit(0)).orderBy("_tramo").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*groups, F.lit(0)).orderBy("_tramo")
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = (
         ranged.groupBy(*groups, "_tramo")
         .agg(*[F.sum(t).alias(t) for t in totals])
-        .select(*groups, "_tramo", *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_{t}") for t in totals])
+        .select(
+            *groups,
+            "_tramo",
+            *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_{t}") for t in totals],
+            *[F.sum(t).over(whole).alias(f"{t}_grupo") for t in totals],
+        )
     )
     order = F.desc(by) if descending else F.asc(by)
     inside = Window.partitionBy(*groups, "_tramo").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,13 +65,10 @@ def running_totals(
 
 def exact_median(values: DataFrame, column: str, groups: Sequence[str] = ()) -> DataFrame:
     """Median per group as the mean of the two central values."""
-    ranked = running_totals(values.select(*groups, column, F.lit(1).alias("_n")), column, ["_n"], groups)
-    sizes = ranked.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-    placed = (
-        ranked.join(sizes, list(groups)) if groups else ranked.withColumn("_total", sizes.scalar())
-    )
-    upper, lower = F.floor(F.col("_total") / 2), F.floor((F.col("_total") - 1) / 2)
-    holds = lambda i: (F.col("_n_antes") <= i) & (i < F.col("_n_antes") + F.col("_n"))
-    return placed.groupBy(*groups).agg(
+    known = values.filter(F.col(column).isNotNull()).select(*groups, column, F.lit(1).alias("n"))
+    ranked = running_totals(known, column, ["n"], groups)
+    upper, lower = F.floor(F.col("n_grupo") / 2), F.floor((F.col("n_grupo") - 1) / 2)
+    holds = lambda i: (F.col("n_antes") <= i) & (i < F.col("n_antes") + F.col("n"))
+    return ranked.groupBy(*groups).agg(
         ((F.max(F.when(holds(lower), F.col(column))) + F.max(F.when(holds(upper), F.col(column)))) / 2).alias("mediana")
     )

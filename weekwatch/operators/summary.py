@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weekwatch.functions.classify import first_break
+from weekwatch.functions.percentiles import floor_index_cut
+
 
 def weekly_series(fact: DataFrame, keys: Sequence[str], value: str = "conteo") -> DataFrame:
     """Sum per key, year and week."""
@@ -139,3 +142,14 @@ def rank_by_volume(volumes: DataFrame, key: str) -> DataFrame:
     """
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("volumen_total"), key)
     return volumes.withColumn("puesto", F.row_number().over(order).cast("bigint"))
+
+
+def map_breaks(rows: DataFrame, value: str, shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
+    """Legend bin of each region by quintile cuts of the known values.
+
+    The cuts come from one sorted array with one value per region of a map.
+    """
+    ordered = rows.agg(F.array_sort(F.collect_list(value))).scalar()
+    cut = rows.withColumn("_orden", ordered)
+    breaks = [floor_index_cut(F.col("_orden"), share) for share in shares]
+    return cut.withColumn("tramo", first_break(F.col(value), breaks)).drop("_orden")
