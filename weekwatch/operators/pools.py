@@ -68,7 +68,10 @@ def observed_cells(series: DataFrame, keys: Sequence[str], rule: Rule, window: i
 
 
 def described_year(series: DataFrame, keys: Sequence[str], rule: Rule, year: int, window: int = 1) -> DataFrame:
-    """One row per key and week seen in any year, described for ``year``; valor may be null."""
+    """One row per key and week that any observation neighbours, described for ``year``.
+
+    ``valor`` is null where the year itself has no observation.
+    """
     around = neighbourhoods(series, keys, window)
     target = F.lit(year)
     own = F.filter("vecinas", lambda v: (v["origen"] == F.col("semana")) & (v["anio"] == year))
