@@ -11,7 +11,7 @@ from weekwatch.operators import bulletins_notified as N
 from weekwatch.operators import cumulative
 from weekwatch.plans import adapters as A
 from weekwatch.plans import bulletin_texts
-from weekwatch.session import checkpointed, new_path
+from weekwatch.session import new_path, stored
 from weekwatch.sources import bulletin_files
 
 
@@ -20,7 +20,7 @@ def names(spark, d):
 
 
 def lab_pages(spark, d):
-    return checkpointed(bulletin_texts.laboratory_pages(spark, d))
+    return stored(bulletin_texts.laboratory_pages(spark, d))
 
 
 def lab(spark, d):
@@ -75,7 +75,7 @@ def s7(spark, d):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pagina", "texto"))), lambda x: x["texto"])
     texts = pages.groupBy("anio", "archivo").agg(F.array_join(ordered, bulletin_files.PAGE_BREAK).alias("value"))
     path = new_path(spark, "boletines")
-    texts.repartition("anio").write.partitionBy("anio", "archivo").text(path, lineSep="\n")
+    texts.repartition("anio", "archivo").write.partitionBy("anio", "archivo").text(path, lineSep="\n")
     read = bulletin_files.pages(spark, path)
     return read.groupBy("archivo", "anio", "semana_archivo", "version").agg(
         F.count(F.lit(1)).alias("paginas"), F.min_by(F.split_part("texto", F.lit("\n"), F.lit(1)), "pagina").alias("inicio")
@@ -249,7 +249,7 @@ def t13_text(spark, d):
 
 
 def notified_pages(spark, d):
-    return checkpointed(bulletin_texts.notified_pages(spark, d))
+    return stored(bulletin_texts.notified_pages(spark, d))
 
 
 def notified(spark, d):

@@ -11,7 +11,7 @@ from checks.weather import n_regions, weekly_long, with_index  # noqa: F401
 from weekwatch.functions.classify import CLASSES
 from weekwatch.operators import channel, features, folds, metrics, models, weekly
 from weekwatch.plans import adapters as A
-from weekwatch.session import checkpointed, new_path
+from weekwatch.session import new_path, stored
 
 EXTERNAL = (1999, 2000, 2001)
 TARGETS = (1997, 1999, 2000, 2001)
@@ -462,7 +462,7 @@ def model_rows(spark, d):
     lags = features.lagged(with_index(wide), ["region"], MODEL_VARS)
     rows = features.training_set(labels, lags, MODEL_NAMES, [A.EXCLUDED_YEAR], ["region"])
     usable = rows.filter(F.col("motivo").isNull()).select("region", "anio", "semana", "etiqueta", *MODEL_NAMES)
-    return checkpointed(usable)
+    return stored(usable)
 
 
 @check("M8_forest_fold_predictions")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weekwatch.functions.text import number
 from weekwatch.operators import bulletins as B
-from weekwatch.session import checkpointed
+from weekwatch.session import stored
 
 # Marks, titles and end marks of the printed table.
 NUMBER = r"(?:\d+(?:[.,]\d{3})+|\d+(?:[.,]\d{1,2})?)"
@@ -144,9 +144,9 @@ def state_without_table(pages: DataFrame) -> DataFrame:
 def analyse(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with state and figures, and the regional rows of all tables found.
 
-    Located tables, one page per document, are checkpointed: rows and figures both read them.
+    Located tables, one page per document, are stored once: rows and figures both read them.
     """
-    tables = checkpointed(table_pages(pages, names))
+    tables = stored(table_pages(pages, names))
     found = rows(tables, names)
     sums = found.groupBy("archivo").agg(F.count(F.lit(1)).alias("n_filas"), F.sum("total").alias("suma"))
     printed = F.transform(F.regexp_extract_all("bloque", F.lit(TOTAL), F.lit(1)), number)

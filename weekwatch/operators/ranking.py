@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weekwatch.session import checkpointed
+from weekwatch.session import stored
 
 
 def running_totals(
@@ -29,9 +29,9 @@ def running_totals(
     """Sum ``totals`` per distinct ``by``; add what comes before it and the group total.
 
     New columns are ``<total>_antes`` and ``<total>_grupo``. The distinct values
-    are read several times, so they are checkpointed once.
+    are read several times, so they are stored once.
     """
-    distinct = checkpointed(rows.groupBy(*groups, by).agg(*[F.sum(t).alias(t) for t in totals]))
+    distinct = stored(rows.groupBy(*groups, by).agg(*[F.sum(t).alias(t) for t in totals]))
     quantiles = [i / ranges for i in range(1, ranges)]
     splits = distinct.agg(F.percentile_approx(by, quantiles, 1000)).scalar()
     place = F.size(F.filter("_cortes", lambda s: s < F.col(by)))

@@ -189,16 +189,15 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Weeks divisible by 6 are missing, some counters are corrected downwards, some
     weeks reprint the previous cut and some have a superseded first version.
     """
-    observed = obs(spark, sf_dir).select("region", "clase", "anio", "semana", "conteo")
-    grid = (
-        observed.select("region", "clase", "anio")
-        .distinct()
-        .withColumn("semana", F.explode(F.sequence(F.lit(1), F.lit(52))))
+    years = obs(spark, sf_dir).groupBy("region", "clase", "anio").agg(
+        F.map_from_entries(F.collect_list(F.struct("semana", "conteo"))).alias("conteos")
     )
+    weeks = years.select("region", "clase", "anio", "conteos", F.explode(F.sequence(F.lit(1), F.lit(52))).alias("semana"))
     year = Window.partitionBy("region", "clase", "anio").orderBy("semana")
     running = (
-        grid.join(observed, ["region", "clase", "anio", "semana"], "left")
-        .withColumn("suma", F.sum(F.coalesce("conteo", F.lit(0))).over(year))
+        weeks.withColumn("conteo", F.coalesce(F.try_element_at("conteos", "semana"), F.lit(0)))
+        .withColumn("suma", F.sum("conteo").over(year))
+        .drop("conteos")
         .filter(F.col("semana") % 6 != 0)
         .withColumn(
             "acum",

@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from weekwatch.functions.text import file_version, file_week, strip_accents
 from weekwatch.plans import adapters as A
 
-WEEK, YEAR = F.col("semana"), F.col("anio")
+# Column names rather than columns: importing must not need a session.
+WEEK, YEAR = "semana", "anio"
 
 
 def _printed_name() -> Column:
     """Early years print names without accents."""
-    return F.when(YEAR < 1998, strip_accents(F.col("nombre"))).otherwise(F.col("nombre"))
+    return F.when(F.col(YEAR) < 1998, strip_accents(F.col("nombre"))).otherwise(F.col("nombre"))
 
 
 def _is(modulus: int, rest: int) -> Column:
-    return WEEK % modulus == rest
+    return F.col(WEEK) % modulus == rest
 
 
 def _documents(lines: DataFrame) -> DataFrame:
@@ -55,9 +56,9 @@ def laboratory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     named = wide.join(A.regions(spark, sf_dir).select("region", "nombre"), "region")
     shown = named.filter(~(_is(11, 10) & (F.col("region") == 3)))
-    rate = F.when(YEAR <= 1997, F.format_string(" %.1f", F.col("p") / F.lit(7.0))).otherwise("")
-    noise = (F.col("region") + WEEK) % 9 == 0
-    blank = (F.col("p") == 0) & ((F.col("region") + WEEK) % 5 == 0) & ~noise
+    rate = F.when(F.col(YEAR) <= 1997, F.format_string(" %.1f", F.col("p") / F.lit(7.0))).otherwise("")
+    noise = (F.col("region") + F.col(WEEK)) % 9 == 0
+    blank = (F.col("p") == 0) & ((F.col("region") + F.col(WEEK)) % 5 == 0) & ~noise
     first = F.when(blank, "").otherwise(F.concat(F.lit(" "), F.col("p").cast("string")))
     line = F.concat(
         _printed_name(), first, F.lit(" "), F.col("c").cast("string"), rate, F.when(noise, " 21 casos.").otherwise("")
@@ -66,13 +67,13 @@ def laboratory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     weeks = F.when(_is(21, 8), "").otherwise(F.format_string(", SE %02d y SE %02d", WEEK, WEEK))
     title = F.when(
-        (YEAR <= 1997) & ~_is(21, 8),
+        (F.col(YEAR) <= 1997) & ~_is(21, 8),
         F.format_string("Casos probables de dengue SE %d y casos confirmados de dengue SE %d, por departamento", WEEK, WEEK),
     ).otherwise(F.concat(F.lit("Casos probables y confirmados de dengue segun departamento"), weeks))
     header = F.concat(
         F.when(_is(22, 2), F.format_string("SE1-%d ", WEEK)).otherwise(""),
         F.lit("Probables Confirmados"),
-        F.when(YEAR <= 1997, " Tasa x 100,000").otherwise(""),
+        F.when(F.col(YEAR) <= 1997, " Tasa x 100,000").otherwise(""),
     )
     extra = F.when(_is(10, 7), 1).otherwise(0)
     error = F.when(_is(23, 20), 5).otherwise(0)
@@ -96,7 +97,7 @@ def notified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(shown.withColumn("linea", line))
 
     shift = F.when(_is(17, 16), 1).otherwise(0)
-    week = WEEK - shift
+    week = F.col(WEEK) - shift
     untitled = _is(23, 22)
     title = (
         F.when(untitled, F.lit("IRA"))
@@ -128,9 +129,9 @@ def notified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _beside() -> Column:
-    return WEEK % 4 == 1
+    return F.col(WEEK) % 4 == 1
 
 
 def _thousands(value: Column) -> Column:
     comma = F.format_number(value, 0)
-    return F.when(YEAR % 2 == 0, F.replace(comma, F.lit(","), F.lit("."))).otherwise(comma)
+    return F.when(F.col(YEAR) % 2 == 0, F.replace(comma, F.lit(","), F.lit("."))).otherwise(comma)

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space and checkpointing."""
+"""Session helpers: the shared folder and tables written there."""
 
 from __future__ import annotations
 
@@ -32,10 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` on reliable storage."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: write it once as a table in the shared folder and read that.
+
+    Later readers prune columns, and a lost executor costs a re-read, not a recomputation.
+    """
+    path = new_path(df.sparkSession, "tabla")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def row_position() -> Column:
     """Sortable position of a row: file, block of the file, row within the block.
 
-    Valid within one job; checkpoint the rows before comparing positions of two jobs.
+    Valid within one job; store the rows before comparing positions of two jobs.
     """
     return F.struct(
         F.col("_metadata.file_path").alias("archivo"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwatch.session import checkpointed
+from weekwatch.session import stored
 from weekwatch.sources.positions import positioned
 
 TERMINATOR = r"\."
@@ -19,8 +19,8 @@ class DumpError(ValueError):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their position, checkpointed so that positions stay comparable."""
-    return checkpointed(positioned(spark.read.text(path)))
+    """Lines with their position, stored so that positions stay comparable."""
+    return stored(positioned(spark.read.text(path)))
 
 
 def block(dump: DataFrame, table: str) -> DataFrame:
