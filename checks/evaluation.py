@@ -27,8 +27,9 @@ view(
 
 
 def labelled(spark, d):
+    """Labelled rows, written once as an experiment does before its folds."""
     labels = channel.prospective_labels(regional(spark, d), KEYS, [A.EXCLUDED_YEAR], min_obs=6, min_years=2)
-    return labels.filter(F.col("etiqueta").isNotNull()).select(*KEYS, "anio", "semana", "etiqueta")
+    return stored(labels.filter(F.col("motivo").isNull()).select(*KEYS, "anio", "semana", "etiqueta"))
 
 
 def assigned(spark, d):

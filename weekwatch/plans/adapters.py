@@ -121,11 +121,11 @@ def daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("fecha"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("l_quantity").cast("decimal(12,2)")).alias("q"),
-            F.max(F.col("l_quantity").cast("decimal(12,2)")).alias("q_max"),
-            F.min(F.col("l_quantity").cast("decimal(12,2)")).alias("q_min"),
-            F.sum(F.col("l_discount").cast("decimal(12,2)")).alias("d"),
-            F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("e"),
+            F.sum(_cents("l_quantity")).alias("q"),
+            F.max(_cents("l_quantity")).alias("q_max"),
+            F.min(_cents("l_quantity")).alias("q_min"),
+            F.sum(_cents("l_discount")).alias("d"),
+            F.sum(_cents("l_extendedprice")).alias("e"),
         )
     )
     suppliers = table(spark, sf_dir, "supplier").select(
@@ -136,11 +136,11 @@ def daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("region", "fecha")
         .agg(
             F.sum("n").alias("n"),
-            _cents(F.sum("q")).alias("q"),
-            _cents(F.max("q_max")).alias("q_max"),
-            _cents(F.min("q_min")).alias("q_min"),
-            _cents(F.sum("d")).alias("d"),
-            _cents(F.sum("e")).alias("e"),
+            F.sum("q").alias("q"),
+            F.max("q_max").alias("q_max"),
+            F.min("q_min").alias("q_min"),
+            F.sum("d").alias("d"),
+            F.sum("e").alias("e"),
         )
     )
     missing_rain = (F.col("region") + F.dayofyear("fecha")) % 11 == 0
@@ -157,8 +157,9 @@ def daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _cents(total: Column) -> Column:
-    return (total * 100).cast("bigint")
+def _cents(amount: str) -> Column:
+    """Whole cents, so that sums are exact, order-free and stay in compiled long arithmetic."""
+    return F.rint(F.col(amount) * 100).cast("bigint")
 
 
 def milli(value: Column) -> Column:
