@@ -43,7 +43,7 @@ def current_cuts(spark, d):
     cuts = A.cuts(spark, d)
     best = F.max("version").alias("version")
     standing = cuts.groupBy("anio", "semana").agg(best)
-    kept = cuts.join(F.broadcast(standing), ["anio", "semana", "version"])
+    kept = cuts.join(standing, ["anio", "semana", "version"])
     return cumulative.last_cut_wins(kept, KEYS)
 
 

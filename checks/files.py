@@ -21,7 +21,7 @@ def _extract_rows(spark, d):
     names = A.regions(spark, d).select("region", F.col("codigo").alias("adm_0_name"))
     weeks = A.obs(spark, d).groupBy("region", "semana", "fecha").agg(F.sum("conteo").alias("dengue_total"))
     levels = F.explode(F.array(F.lit("Admin0"), F.lit("Admin1")))
-    return weeks.join(F.broadcast(names), "region").select(
+    return weeks.join(names, "region").select(
         "region", "semana", "adm_0_name",
         F.year("fecha").alias("Year"),
         F.col("fecha").alias("calendar_start_date"),
@@ -260,3 +260,18 @@ def x5(spark, d):
 )
 def x7(spark, d):
     return A.reported_names(spark, d).select("anio", text.place_key(F.col("lugar")).alias("clave"), "conteo")
+
+
+@check(
+    "K8_source_fingerprints",
+    """SELECT anio, sha256(string_agg(semana || ',' || conteo || chr(10), '' ORDER BY semana)) AS sha256
+    FROM obs_nat GROUP BY anio""",
+)
+def k8(spark, d):
+    """One source file per year, fingerprinted as the gate does."""
+    path = new_path(spark, "fuentes")
+    lines = A.obs_national(spark, d).select("anio", "semana", F.concat_ws(",", "semana", "conteo").alias("value"))
+    ordered = lines.repartition("anio").sortWithinPartitions("anio", "semana").drop("semana")
+    ordered.write.partitionBy("anio").text(path)
+    found = writers.fingerprints(spark, path)
+    return found.select(F.regexp_extract("carpeta", r"anio=(\d+)", 1).cast("int").alias("anio"), "sha256")

@@ -159,7 +159,7 @@ def c9(spark, d):
 def f1(spark, d):
     region = A.regions(spark, d).filter(F.col("padre") == "EUROPE").select("region")
     keep = (F.col("clasificacion") == "confirmado") & (F.col("fuente") == "1-URGENT")
-    return A.facts(spark, d).filter(keep).join(F.broadcast(region), "region", "left_semi")
+    return A.facts(spark, d).filter(keep).join(region, "region", "left_semi")
 
 
 @check(

@@ -180,11 +180,11 @@ def references(assigned: DataFrame, keys: Sequence[str], entity: Sequence[str])
     overall = modes(by_week.groupBy(*fold, "etiqueta").agg(F.sum("n").alias("n")), fold).withColumnRenamed(
         "moda", "constante_mayoritaria"
     )
-    with_global = by_week.join(F.broadcast(overall), fold)
+    with_global = by_week.join(overall, fold)
     weekly = modes(with_global, [*fold, "semana"], F.col("constante_mayoritaria")).withColumnRenamed("moda", "_semanal")
     test = previous_label(assigned.filter(F.col("rol") == TEST), [*keys, *entity])
     return (
-        test.join(F.broadcast(overall), fold)
+        test.join(overall, fold)
         .join(weekly, [*fold, "semana"], "left")
         .withColumns(
             {

@@ -17,7 +17,7 @@ class UnmatchedRows(RuntimeError):
 def by_place_name(rows: DataFrame, dim: DataFrame, name: str, dim_name: str = "nombre") -> DataFrame:
     """Left join on the normalised place name; unmatched rows keep a null dimension."""
     right = dim.withColumn("_lugar", place_key(F.col(dim_name)))
-    return rows.withColumn("_lugar", place_key(F.col(name))).join(F.broadcast(right), "_lugar", "left").drop("_lugar")
+    return rows.withColumn("_lugar", place_key(F.col(name))).join(right, "_lugar", "left").drop("_lugar")
 
 
 def name_match_report(rows: DataFrame, dim: DataFrame, name: str, dim_name: str = "nombre") -> DataFrame:

@@ -51,7 +51,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.replace(F.initcap("r_name"), F.lit("A"), F.lit("Á"))
     return (
         table(spark, sf_dir, "nation")
-        .join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("n_nationkey").alias("region"),
             F.col("n_name").alias("codigo"),
@@ -277,9 +277,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly totals per place name as differently spelled in each year."""
-    named = facts(spark, sf_dir).join(
-        F.broadcast(regions(spark, sf_dir).select("region", "nombre")), "region"
-    )
+    named = facts(spark, sf_dir).join(regions(spark, sf_dir).select("region", "nombre"), "region")
     spelled = (
         F.when(F.col("anio") % 3 == 0, F.concat(F.lit("Departamento de "), F.col("nombre")))
         .when(F.col("anio") % 3 == 1, F.concat(F.lit("  "), F.upper(strip_accents(F.col("nombre")))))

@@ -28,9 +28,13 @@ def facts(df: DataFrame, path: str, partitions: Sequence[str] = ("anio",)) -> No
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per source file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("archivo"), F.sha2("content", 256).alias("sha256"))
+    """SHA-256 per source file; a file is one row, so it must be under 2 GB."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("archivo"),
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("carpeta"),
+        F.sha2("content", 256).alias("sha256"),
+    )
 
 
 def require_fingerprints(spark: SparkSession, path: str, expected: Mapping[str, str]) -> None:
