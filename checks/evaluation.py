@@ -185,6 +185,21 @@ def w18(spark, d):
     return folds.previous_label(labelled(spark, d), KEYS)
 
 
+@check(
+    "W18_persistence_over_all_labels",
+    """SELECT t.region, t.clase, t.anio, t.semana, p.etiqueta AS persistencia FROM plegadas t LEFT JOIN filas p
+    ON p.region = t.region AND p.clase = t.clase AND p.anio = t.anio AND p.semana = t.semana - 1
+    WHERE t.rol = 'prueba' AND t.semana % 5 <> 1""",
+)
+def w18_all(spark, d):
+    """Rows of every fifth week are discarded from the folds; their labels still serve as predecessors."""
+    rows = labelled(spark, d)
+    kept = rows.filter(F.col("semana") % 5 != 1)
+    parts = folds.forward_chaining(kept, EXTERNAL, TARGETS, [A.EXCLUDED_YEAR])
+    found = folds.references(parts, ["clase"], ["region"], rows)
+    return found.select("region", "clase", "anio", "semana", "persistencia")
+
+
 # --- metrics on deterministic pseudo-predictions --------------------------
 
 view(

@@ -172,8 +172,14 @@ def previous_label(labels: DataFrame, entity: Sequence[str]) -> DataFrame:
     return labels.withColumn("persistencia", F.max("etiqueta").over(year))
 
 
-def references(assigned: DataFrame, keys: Sequence[str], entity: Sequence[str]) -> DataFrame:
-    """Four naive predictions per test row: weekly mode, majority, always high, persistence."""
+def references(
+    assigned: DataFrame, keys: Sequence[str], entity: Sequence[str], all_labels: DataFrame | None = None
+) -> DataFrame:
+    """Four naive predictions per test row: weekly mode, majority, always high, persistence.
+
+    Persistence looks among the test rows, or in ``all_labels`` when given, which
+    also holds the labels of rows that were discarded from the folds.
+    """
     fold = [*keys, "anio_externo"]
     train = assigned.filter(F.col("rol") == TRAIN)
     by_week = train.groupBy(*fold, "semana", "etiqueta").agg(F.count(F.lit(1)).alias("n"))
@@ -182,7 +188,15 @@ def references(assigned: DataFrame, keys: Sequence[str], entity: Sequence[str])
     )
     with_global = by_week.join(overall, fold)
     weekly = modes(with_global, [*fold, "semana"], F.col("constante_mayoritaria")).withColumnRenamed("moda", "_semanal")
-    test = previous_label(assigned.filter(F.col("rol") == TEST), [*keys, *entity])
+    test = assigned.filter(F.col("rol") == TEST)
+    if all_labels is None:
+        test = previous_label(test, [*keys, *entity])
+    else:
+        row = [*keys, *entity, "anio", "semana"]
+        before = all_labels.select(
+            *keys, *entity, "anio", (F.col("semana") + 1).alias("semana"), F.col("etiqueta").alias("persistencia")
+        )
+        test = test.join(before, row, "left")
     return (
         test.join(overall, fold)
         .join(weekly, [*fold, "semana"], "left")

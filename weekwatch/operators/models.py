@@ -50,7 +50,14 @@ def _assembler(names: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(names), outputCol="features")
 
 
+def require_rows(train: DataFrame) -> None:
+    """A split without training rows is an error of the request, not a model."""
+    if train.isEmpty():
+        raise ValueError("no training rows: check that the data cover the requested split")
+
+
 def fit_forest(train: DataFrame, names: Sequence[str], trees: int = 300, depth: int = 10, seed: int = 42) -> PipelineModel:
+    require_rows(train)
     forest = RandomForestClassifier(
         labelCol="label", weightCol="peso", numTrees=trees, maxDepth=depth, seed=seed
     )
@@ -105,6 +112,7 @@ def importances(model: PipelineModel, names: Sequence[str], top: int = 10) -> Da
 
 def compare_algorithms(train: DataFrame, test: DataFrame, names: Sequence[str], trees: int = 300, depth: int = 10, seed: int = 42) -> DataFrame:
     """Predictions of forest, boosting and scaled logistic regression on one split."""
+    require_rows(train)
     ready = with_weights(with_label(train)).cache()
     boosting = OneVsRest(
         classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=seed), labelCol="label", featuresCol="features"
