@@ -50,3 +50,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weekwatch.llm import html_text
 
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def held_out(id_column: str):
+    """True for ids whose rows labels are never learned from."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from weekwatch.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
