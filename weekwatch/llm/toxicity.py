@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from weekwatch.session import stored
 
-ORDER, DECAY = 3, 0.6
+ORDER, DECAY = 3, 0.7
 #: Bound of the labelled rows learned from; landmarks; longest window (longer words are cut into overlapping ones).
-TRAIN_ROWS, LANDMARKS, LONGEST = 20_000, 32, 16
-#: Similarities below this count as none, so most words need no arithmetic; words remembered by a Python worker.
-FLOOR, KNOWN_WORDS = 0.3, 400_000
+TRAIN_ROWS, LANDMARKS, LONGEST = 20_000, 24, 16
+#: Similarities below this, and those to words without so many of a landmark's characters, count as none; words
+#: remembered by a Python worker.
+FLOOR, MISSING, KNOWN_WORDS = 0.25, 0.4, 400_000
 _SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _EDGES = " .,;:!?\"'()[]{}|#*$%&-_/+=<>~^@`"
 
@@ -44,8 +45,10 @@ def windows(text: str) -> set[str]:
 
 def _pieces(word: str) -> list[str]:
     word = word.strip(_EDGES)
+    plain = "".join(filter(str.isalnum, word))
     if len(word) <= LONGEST:
-        return [word]
+        return [word] if plain == word else [word, plain]
+    word = plain if len(plain) * 2 > len(word) else word
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
@@ -57,40 +60,58 @@ def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
 
 
 def string_kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of each row of ``left`` (U, S) with each of ``right`` (U or 1, M, T): an array (U, M)."""
-    n, length = left.shape
-    m, width = right.shape[1:]
+    """Subsequence kernel of each row of ``left`` (P, S) with the same row of ``right`` (P, T)."""
+    n, width = right.shape
     steps = np.arange(width)
     decay = np.where(steps[None, :] >= steps[:, None], DECAY ** np.maximum(steps[None, :] - steps[:, None], 0), 0)
     decay = (decay * DECAY**2).astype(np.float32)
-    partial = [np.ones((n, m, width), np.float32)] + [np.zeros((n, m, width), np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros((n, m), np.float32)
-    for a in range(length):
-        same = left[:, a, None, None] == right
-        total += DECAY**2 * np.where(same, partial[ORDER - 1], 0).sum(axis=2)
+    partial = [np.ones((n, width), np.float32)] + [np.zeros((n, width), np.float32) for _ in range(ORDER - 1)]
+    total = np.zeros(n, np.float32)
+    for a in range(left.shape[1]):
+        same = (left[:, a, None] == right).astype(np.float32)
+        total += DECAY**2 * (same * partial[ORDER - 1]).sum(axis=1)
         for i in range(ORDER - 1, 0, -1):
-            ended = np.where(same, partial[i - 1], 0) @ decay
+            ended = (same * partial[i - 1]) @ decay
             partial[i] *= DECAY
-            partial[i][:, :, 1:] += ended[:, :, :-1]
+            partial[i][:, 1:] += ended[:, :-1]
     return total
 
 
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """A bit for each character of a word, by its code modulo 64."""
+    bits = np.left_shift(np.uint64(1), (codes & 63).astype(np.uint64))
+    return np.bitwise_or.reduce(np.where(codes >= 0, bits, np.uint64(0)), axis=1)
+
+
 def similarities(words: list[str], marks: list[str]) -> np.ndarray:
-    """Normalised kernel of each word with each landmark, 0 to 1; words shorter than the order equal only themselves."""
+    """Normalised kernel of each word with each landmark, 0 to 1.
+
+    It counts as none if word or landmark lacks more than ``MISSING`` of the other's different characters; that is
+    most pairs, so the kernel itself is needed for few.
+    """
     out = np.zeros((len(words), len(marks)), dtype=np.float32)
-    width = max(map(len, marks))
-    right = _codes(marks, width, -2)[None]
-    own = np.sqrt(string_kernel(right[0], right[0][:, None, :])[:, 0])
+    right = _codes(marks, max(map(len, marks)), -2)
+    own = np.array([np.sqrt(string_kernel(c, c))[0] for c in (_codes([w], len(w), -2) for w in marks)])
+    marked = _letters(right)
+    least = np.ceil(np.bitwise_count(marked) * (1 - MISSING))
     by_length: dict[int, list[int]] = {}
     for i, word in enumerate(words):
         if len(word) >= ORDER:
             by_length.setdefault(len(word), []).append(i)
     for length, rows in by_length.items():
-        for part in range(0, len(rows), 1000):
-            at = rows[part : part + 1000]
+        for part in range(0, len(rows), 20_000):
+            at = np.array(rows[part : part + 20_000])
             left = _codes([words[i] for i in at], length, -1)
-            norm = np.sqrt(string_kernel(left, left[:, None, :]))
-            out[at] = string_kernel(left, right) / np.maximum(norm * own[None, :], 1e-9)
+            own_letters = _letters(left)
+            shared = np.bitwise_count(own_letters[:, None] & marked[None, :])
+            enough = np.ceil(np.bitwise_count(own_letters) * (1 - MISSING))
+            u, m = np.nonzero((shared >= least[None, :]) & (shared >= enough[:, None]))
+            norm = np.zeros(len(at), np.float32)
+            used = np.unique(u)
+            norm[used] = np.sqrt(string_kernel(left[used], left[used]))
+            for k in range(0, len(u), 20_000):
+                a, b = u[k : k + 20_000], m[k : k + 20_000]
+                out[at[a], b] = string_kernel(left[a], right[b]) / np.maximum(norm[a] * own[b], 1e-9)
     return out
 
 
@@ -148,7 +169,7 @@ class Featurer:
 
 
 def landmarks(train: DataFrame, text: str, label: str, count: int = LANDMARKS) -> list[str]:
-    """Three quarters of the landmarks are the words that most set label 1 apart, the others the most common words."""
+    """Two thirds of the landmarks are the words that most set label 1 apart, the others the most common words."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -159,13 +180,13 @@ def landmarks(train: DataFrame, text: str, label: str, count: int = LANDMARKS) -
     bags = train.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).mapInPandas(words, "word string, y int")
     sums = stored(bags.groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).filter("n > 2"))
     apart = F.col("toxic") / F.sqrt(F.col("n")) * (F.col("toxic") / F.col("n"))
-    leading = sums.orderBy(apart.desc(), "word").limit(count * 3 // 4).select("word")
-    common = sums.orderBy(F.col("n").desc(), "word").limit(count).select("word")
+    leading = sums.orderBy(apart.desc(), "word").limit(count * 2 // 3).select("word")
+    common = sums.filter(F.length("word") > ORDER + 1).orderBy(F.col("n").desc(), "word").limit(count).select("word")
     first = [r.word for r in leading.collect()]
     return (first + [r.word for r in common.collect() if r.word not in first])[:count]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 0.02, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps; classes weigh the same. Returns weights and bias."""
     sign = np.where(y == 1, 1.0, -1.0)
     weight = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum()))) * cost / len(y)
