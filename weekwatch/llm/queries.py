@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwatch.llm import licences
+from weekwatch.llm import licences, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_licence_scan", licences.oracle())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_sketch_fingerprints", sketches.oracle())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_edits(table(spark, sf_dir, "documents"))
