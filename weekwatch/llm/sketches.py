@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches over paragraph digests.
 
-A text is cut into paragraphs (at line ends, and at sentence and clause marks followed by space), each becomes a 60-bit
+A text is cut into paragraphs (at line ends, and at sentence ends followed by space), each becomes a 60-bit
 digest, and the set of digests is folded into cells: every digest lies in one cell of each of ``TABLES`` sub-tables, and
 a cell holds a count, the XOR of its digests and the XOR of their checks. Sketches of one size subtract cell by cell, so
 what two versions share cancels; peeling then recovers the digests that differ, cell by cell with a single one. If that
@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from weekwatch.session import stored
 
 #: Sub-tables, cells of each in the fingerprint, and in a part at its first attempt; digests of both texts to a part.
-TABLES, CELLS, PART_CELLS, PART_DIGESTS = 3, 8, 4, 6
+TABLES, CELLS, PART_CELLS, PART_DIGESTS = 3, 4, 4, 6
 #: Attempts on a part, each with four times the cells; rounds of peeling.
-ATTEMPTS, ROUNDS = 6, 12
+ATTEMPTS, ROUNDS = 6, 5
 #: A prime below 2^30; digests modulo it are the checks.
 CHECK = 1_000_000_007
 _SPAN = 12  # ids of one window: 2^12
-_MARKS = "[.!?,;:]+[ \t\r]+|[\n\r]+"
+_MARKS = "[.!?]+[ \t\r]+|[\n\r]+"
 
 
 def digests(text: Column) -> Column:
@@ -37,15 +37,18 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.conv(F.substring(F.md5(p), 1, 15), 16, 10).cast("long")))
 
 
-def _cell(digest: str, table: str, cells: str) -> str:
-    return f"(shiftright({digest}, 17 * ({table})) % ({cells}))"
+def _placed(digest: str, size: int, more: str = "") -> str:
+    """A digest with its check and its cell in each sub-table, the cells numbered through all sub-tables."""
+    cells_of = ", ".join(f"'k{j}', CAST({j * size} + shiftright({digest}, {17 * j}) % {size} AS INT)" for j in range(TABLES))
+    return f"named_struct('x', {digest}, 'c', {digest} % {CHECK}L, {cells_of}{more})"
 
 
 def cells(digest_array: str, size: int) -> str:
     """SQL of the cells of a digest array, sub-table after sub-table."""
-    return f"""flatten(transform(sequence(0, {TABLES - 1}), j -> transform(sequence(0, {size - 1}), k -> aggregate(
-        filter({digest_array}, d -> {_cell('d', 'j', str(size))} = k), named_struct('n', 0, 'x', 0L, 'c', 0L),
-        (s, d) -> named_struct('n', s.n + 1, 'x', s.x ^ d, 'c', s.c ^ (d % {CHECK}L))))))"""
+    tables = ", ".join(f"""transform(sequence({j * size}, {j * size + size - 1}), k -> aggregate(
+        filter(z, e -> e.k{j} = k), named_struct('n', 0, 'x', 0L, 'c', 0L),
+        (s, e) -> named_struct('n', s.n + 1, 'x', s.x ^ e.x, 'c', s.c ^ e.c)))""" for j in range(TABLES))
+    return f"transform(array(transform({digest_array}, d -> {_placed('d', size)})), z -> concat({tables}))[0]"
 
 
 def subtract(a: str, b: str) -> str:
@@ -55,10 +58,10 @@ def subtract(a: str, b: str) -> str:
 def peel(cell_array: str, size: int) -> str:
     """SQL of the number of digests peeled from a difference of sketches; null if cells remain."""
     pure = (f"array_distinct(transform(filter(st.cells, s -> abs(s.n) = 1 AND s.x >= 0 AND s.c = s.x % {CHECK}L), "
-            "s -> named_struct('n', s.n, 'x', s.x)))")
-    take = f"""transform(st.cells, (s, i) -> aggregate(
-        filter(pure, q -> {_cell('q.x', f'i div {size}', str(size))} = i % {size}), s,
-        (t, q) -> named_struct('n', t.n - q.n, 'x', t.x ^ q.x, 'c', t.c ^ (q.x % {CHECK}L))))"""
+            + "s -> " + _placed("s.x", size, ", 'n', s.n") + "))")
+    here = " OR ".join(f"q.k{j} = i" for j in range(TABLES))
+    take = f"""transform(st.cells, (s, i) -> aggregate(filter(pure, q -> {here}), s,
+        (t, q) -> named_struct('n', t.n - q.n, 'x', t.x ^ q.x, 'c', t.c ^ q.c)))"""
     step = f"""transform(array({pure}), pure -> IF(size(pure) = 0, st, named_struct(
         'cells', {take}, 'found', st.found + size(pure))))[0]"""
     return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cell_array}, 'found', 0), (st, r) -> {step},
@@ -142,7 +145,7 @@ def fingerprint_edits(df: DataFrame, id_column: str = "doc_id", text: str = "tex
 def oracle() -> str:
     """DuckDB SQL for ``fingerprint_edits`` of ``documents``; likeness comes from the digest sets themselves."""
     cell = "((d // (1::BIGINT << (17 * j)::INTEGER)) % {})".format(CELLS)
-    split = r"string_split_regex({}, '[.!?,;:]+[ \t\r]+|[\n\r]+')"
+    split = r"string_split_regex({}, '[.!?]+[ \t\r]+|[\n\r]+')"
     digest = "list_distinct([('0x' || substr(md5(p), 1, 15))::BIGINT FOR p IN {} IF p <> ''])"
     sets = ", ".join(f"{digest.format(split.format(c))} AS {n}" for n, c in (("a", "text"), ("e", "edited"), ("x", "nxt")))
     near = "CASE WHEN len(a) + len({0}) = 0 THEN 1.0::DOUBLE ELSE 1 - (len(a) + len({0}) - 2 * len(list_intersect(a, {0})))" \
