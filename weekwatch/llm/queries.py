@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekwatch.llm import licences, sketches
+from weekwatch.llm import licences, ngram_lm, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sketch_fingerprints", sketches.oracle())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op6_stupid_backoff", ngram_lm.oracle(_WORDS))
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    scored = ngram_lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                         F.round("mean_log_score", 4).alias("mean_log_score"))
+
+
+@query("op7_ordinal_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 2 is good and not toxic, 1 one of the two, 0 neither; a document is kept if grade 2 is likelier than not."""
+    from pyspark.sql import functions as F
+
+    from weekwatch.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = table(spark, sf_dir, "labels").filter(~held_out("doc_id")).withColumn(
+        "grade", F.col("quality") + 1 - F.col("toxic"))
+    graded = quality.grade(docs, quality.train(docs, ratings, 3))
+    return graded.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_above_0"), F.col("tails")[1].alias("p_above_1"),
+                         (F.col("tails")[1] >= 0.5).alias("keep"))
