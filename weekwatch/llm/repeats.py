@@ -159,21 +159,24 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
         docs.select("doc", "copy", _packed("text").alias("packed")), ["doc", "copy"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda out: pd.DataFrame(out, columns=["g", "w", "doc", "at", "n", "piece"]).astype({"w": "Int64"})
+        out = []
         for pdf in batches:
             for doc, copy, rows, packed in pdf[["doc", "copy", "rows", "packed"]].itertuples(index=False):
-                text = _unpack(packed)
-                out = []
+                text, shift = _unpack(packed), int(copy) << _COPY_BITS
                 for r in rows:
                     at, n = r["at"], r["n"]
-                    if r["many"]:
-                        for k in range(at, at + n):
-                            piece = text[k : k + width]
-                            high, low = divmod(xxhash.xxh3_128_intdigest(piece), 1 << 64)
-                            out.append((high - (1 << 63), low - (1 << 63), doc, k + (int(copy) << _COPY_BITS), 1, None))
-                    else:
-                        out.append((r["m"] % shards, None, doc, at + (int(copy) << _COPY_BITS), n,
-                                    text[at : at + n + width - 1]))
-                yield pd.DataFrame(out, columns=["g", "w", "doc", "at", "n", "piece"]).astype({"w": "Int64"})
+                    if not r["many"]:
+                        out.append((r["m"] % shards, None, doc, at + shift, n, text[at : at + n + width - 1]))
+                        continue
+                    for k in range(at, at + n):
+                        high, low = divmod(xxhash.xxh3_128_intdigest(text[k : k + width]), 1 << 64)
+                        out.append((high - (1 << 63), low - (1 << 63), doc, k + shift, 1, None))
+                if len(out) >= 20_000:
+                    yield frame(out)
+                    out = []
+        if out:
+            yield frame(out)
 
     pieces = wanted.mapInPandas(cut, "g long, w long, doc long, at long, n int, piece binary")
     lonely = rivals.filter("many").isEmpty()
