@@ -159,7 +159,11 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
         docs.select("doc", "copy", _packed("text").alias("packed")), ["doc", "copy"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda out: pd.DataFrame(out, columns=["g", "w", "doc", "at", "n", "piece"]).astype({"w": "Int64"})
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            g, w, *rest = zip(*out)
+            exact = {"g": np.array(g, dtype=np.int64), "w": pd.array(w, dtype="Int64")}  # 64 bits do not fit a float
+            return pd.DataFrame(exact | dict(zip(("doc", "at", "n", "piece"), rest)))
+
         out = []
         for pdf in batches:
             for doc, copy, rows, packed in pdf[["doc", "copy", "rows", "packed"]].itertuples(index=False):
