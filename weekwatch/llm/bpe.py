@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Pre-tokens remembered by a Python worker before it starts again; bounds its memory, never the result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Bytes of new pre-tokens merged in one queue, and characters split into pre-tokens at a time.
-QUEUE_BYTES, SPLIT_CHARS = 8_000_000, 8_000_000
+QUEUE_BYTES, SPLIT_CHARS = 2_000_000, 3_000_000
 
 
 class RankQueue:
@@ -204,7 +204,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(rank_file, pattern)
         for batch in texts:
-            yield pd.Series([[i for got in pieces for i in got[0]] for pieces in own.encode_batch(batch.tolist())])
+            yield pd.Series([np.array([i for got in pieces for i in got[0]], dtype=np.int32)
+                             for pieces in own.encode_batch(batch.tolist())])
 
     return df.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
 
@@ -235,7 +236,7 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
                 joined = (" ".join([p[1] for p in pieces]).encode(), b"".join([p[2] for p in pieces]))
                 digests = [hashlib.sha256(b).hexdigest() for b in joined]
                 row = (sum([len(p[0]) for p in pieces]), *digests)
-                rows.append((*row, [i for p in pieces for i in p[0]]) if ids else row)
+                rows.append((*row, np.array([i for p in pieces for i in p[0]], dtype=np.int32)) if ids else row)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if ids else []))
 
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ([ids] if ids else [])

@@ -30,7 +30,7 @@ ORDER, DECAY = 3, 0.7
 TRAIN_ROWS, LANDMARKS, LONGEST = 20_000, 24, 16
 #: Similarities below this, and those to words without so many of a landmark's characters, count as none; words
 #: remembered by a Python worker.
-FLOOR, MISSING, KNOWN_WORDS = 0.25, 0.4, 400_000
+FLOOR, MISSING, KNOWN_WORDS = 0.25, 0.4, 200_000
 _SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _EDGES = " .,;:!?\"'()[]{}|#*$%&-_/+=<>~^@`"
 
