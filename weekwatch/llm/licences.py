@@ -61,7 +61,8 @@ def scan(df: DataFrame, id_column: str = "doc_id", text: str = "text", threshold
          templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """``(id, licence, dice, n_passages)``: each licence of a document with its best coefficient and its passages."""
     grams = [(name, bigrams_of(body)) for name, body in templates]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    slack = 1e-9  # of the bounds only, for rounding; the coefficient itself decides
+    low, high = threshold / (2 - threshold) - slack, (2 - threshold) / threshold + slack
     literal = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(len(g)).alias("size"),
                                  F.array(*map(F.lit, g)).alias("grams")) for name, g in grams])
     least = int(min(len(g) for _, g in grams) * low)
