@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Pre-tokens remembered by a Python worker before it starts again; bounds its memory, never the result.
-CACHE_PIECES = 200_000
-#: Bytes of new pre-tokens merged in one queue, and characters split into pre-tokens at a time.
-QUEUE_BYTES, SPLIT_CHARS = 2_000_000, 3_000_000
+CACHE_PIECES = 120_000
+#: Bytes of new pre-tokens merged in one queue, characters split into pre-tokens at a time, rows of an Arrow batch.
+QUEUE_BYTES, SPLIT_CHARS, BATCH_ROWS = 1_000_000, 1_500_000, 500
 
 
 class RankQueue:
@@ -192,6 +192,13 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _small_batches(df: DataFrame) -> None:
+    """Ids take about as much memory as their text, so a task gets fewer rows at a time than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+
 @lru_cache(maxsize=2)
 def codec(rank_file: str, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
@@ -199,6 +206,7 @@ def codec(rank_file: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``: the token ids of the whole text. The rank file is read where the task runs."""
+    _small_batches(df)
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -226,6 +234,7 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text",
     """Encode, then decode the ids: adds ``n_tokens``, ``ids_sha256`` (decimal ids joined by one space) and
     ``decoded_sha256`` in one pass over the texts; ``ids`` names a column to keep the ids in."""
     kept = ", ids array<int>" if ids else ""
+    _small_batches(df)
 
     @F.pandas_udf(f"n_tokens long, ids_sha256 string, decoded_sha256 string{kept}")
     def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
