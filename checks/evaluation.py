@@ -454,11 +454,15 @@ def m18_overall(spark, d):
 
 @check(
     "M19_variant_comparison",
-    """WITH p AS (SELECT r.clase, r.anio, coalesce(r.exito_estable, FALSE) AS er, coalesce(b.exito_estable, FALSE) AS eb,
+    """WITH p AS (SELECT r.clase, r.anio, r.exito_estable AS er, b.exito_estable AS eb,
+            r.exito_estable IS NOT NULL AND b.exito_estable IS NOT NULL AS ev,
             coalesce(r.f1_min >= b.f1_max + 0.05 AND r.recall_min >= b.recall_max, FALSE) AS mejor
         FROM estabilidad r JOIN estabilidad b ON b.clase = r.clase AND b.anio = r.anio AND b.variante = 'solo_casos' WHERE r.variante = 'casos_mas_clima')
-    SELECT clase, count(*) AS folds, count(*) FILTER (eb) AS exitos_base, count(*) FILTER (er) AS exitos_rica,
-        bool_or(er AND NOT eb) OR bool_and(mejor) AS clima_justificado FROM p GROUP BY clase""",
+    SELECT clase, count(*) FILTER (ev) AS folds, count(*) FILTER (ev AND eb) AS exitos_base,
+        count(*) FILTER (ev AND er) AS exitos_rica, coalesce(bool_and(eb) FILTER (ev), FALSE) AS base_en_todos,
+        coalesce(bool_and(er) FILTER (ev), FALSE) AS rica_en_todos,
+        coalesce(bool_or(er AND NOT eb) FILTER (ev) OR bool_and(mejor) FILTER (ev), FALSE) AS clima_justificado
+    FROM p GROUP BY clase""",
 )
 def m19(spark, d):
     stable = metrics.stability(decisions(spark, d), [*GROUP, "variante"])

@@ -1,9 +1,10 @@
 import hashlib
+import json
 
 import pytest
 
 from weekwatch.operators import joins
-from weekwatch.sources import bulletin_files, case_csv, climate_index, sql_dump, writers
+from weekwatch.sources import bulletin_files, case_csv, climate_index, sql_dump, weather_json, writers
 
 HEADER = ",".join(case_csv.COLUMNS)
 
@@ -29,6 +30,53 @@ def test_national_weeks_skip_other_resolutions_and_stop_on_definitions(spark, tm
         case_csv.national_weeks(spark, bad)
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    names = case_csv.COLUMNS[::-1] + ("extra",)
+    values = dict(zip(case_csv.COLUMNS, row().split(","))) | {"extra": "1"}
+    path = write(tmp_path, "r.csv", [",".join(names), ",".join(values[n] for n in names)])
+    assert [(r.pais, r.conteo) for r in case_csv.national_weeks(spark, path).collect()] == [("X", 7)]
+    assert [r.valor for r in case_csv.lenient_weeks(spark, path, [2014]).collect()] == [7.0]
+    short = write(tmp_path, "s.csv", ["adm_0_name,Year", "X,2014"])
+    with pytest.raises(case_csv.SourceContractError):
+        case_csv.national_weeks(spark, short)
+
+
+def test_blank_cells_and_absent_countries_break_the_contract(spark, tmp_path):
+    with pytest.raises(case_csv.SourceContractError):
+        case_csv.national_weeks(spark, write(tmp_path, "n.csv", [HEADER, row(definition="")]))
+    with pytest.raises(case_csv.SourceContractError):
+        case_csv.strict_weeks(spark, write(tmp_path, "m.csv", [HEADER, row(end="")]), FILTERS, 2014, 2014)
+    good = write(tmp_path, "o.csv", [HEADER, row()])
+    for frozen in ({"X": 1, "Y": 1}, {"Y": 1}, {"X": 2}):
+        with pytest.raises(case_csv.SourceContractError):
+            case_csv.strict_weeks(spark, good, FILTERS, 2014, 2014, frozen)
+
+
+def _response(days=1, **changed):
+    daily = {"time": ["2020-01-0%d" % (i + 1) for i in range(days)]} | {n: [1.0] * days for n in weather_json.VARIABLES}
+    return {"latitude": 1.0, "longitude": 2.0, "elevation": 3.0, "daily": daily | changed}
+
+
+@pytest.mark.parametrize("body,places,good", [
+    (json.dumps([_response(), _response(2)]), 2, True),
+    (json.dumps([_response(), _response()]), 1, False),
+    (json.dumps([_response()]), 2, False),
+    ("{not json", 1, False),
+    (json.dumps([_response(2, precipitation_sum=[1.0])]), 1, False),
+    (json.dumps([_response(1, dew_point_2m_mean=None)]), 1, False),
+])
+def test_weather_responses_meet_their_locations(spark, tmp_path, body, places, good):
+    folder = tmp_path / "lote=0"
+    folder.mkdir()
+    (folder / "a.json").write_text(body, encoding="utf-8")
+    locations = spark.createDataFrame([(0, i, 10 + i) for i in range(places)], "lote int, posicion int, region int")
+    if good:
+        assert weather_json.responses(spark, str(tmp_path), locations).count() == places
+    else:
+        with pytest.raises(case_csv.SourceContractError):
+            weather_json.responses(spark, str(tmp_path), locations)
+
+
 def test_lenient_weeks_keep_the_last_row_of_a_date(spark, tmp_path):
     path = write(tmp_path, "c.csv", [HEADER, row(n="9"), row(n="NA"), row(n="3"), row(year="x")])
     assert [r.valor for r in case_csv.lenient_weeks(spark, path, [2014]).collect()] == [3.0]

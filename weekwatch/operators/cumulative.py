@@ -232,7 +232,9 @@ def nested_series(points: DataFrame, key: str) -> DataFrame:
 
 
 def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A text as a JSON string."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
 
 
 def missing_weeks(points: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -212,24 +212,29 @@ def compare_variants(stable: DataFrame, fold: Sequence[str], base: str, rich: st
 
     It is when it succeeds in a fold where the base one does not, or when in every
     fold its worst F1 exceeds the base's best by ``gain`` without losing recall.
+    A fold is evaluable when both variants are in all seeds; others count nowhere.
     ``stable`` is a stability table with ``variante``.
     """
     pick = lambda name, column: F.max(F.when(F.col("variante") == name, F.col(column)))
     sides = stable.groupBy(*by, *fold).agg(
-        _hit(pick(rich, "exito_estable")).alias("exito_rica"),
-        _hit(pick(base, "exito_estable")).alias("exito_base"),
+        pick(rich, "exito_estable").alias("exito_rica"),
+        pick(base, "exito_estable").alias("exito_base"),
         pick(rich, "f1_min").alias("f1_rica"),
         pick(base, "f1_max").alias("f1_base"),
         pick(rich, "recall_min").alias("recall_rica"),
         pick(base, "recall_max").alias("recall_base"),
     )
-    wins = F.col("exito_rica") & ~F.col("exito_base")
+    evaluable = F.col("exito_rica").isNotNull() & F.col("exito_base").isNotNull()
+    wins = _hit(F.col("exito_rica") & ~F.col("exito_base"))
     better = _hit(
         (F.col("f1_rica") >= F.col("f1_base") + gain) & (F.col("recall_rica") >= F.col("recall_base"))
     )
+    folds, good = F.count_if(evaluable), lambda name: F.count_if(evaluable & F.col(name))
     return sides.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("folds"),
-        F.count_if("exito_base").alias("exitos_base"),
-        F.count_if("exito_rica").alias("exitos_rica"),
-        (F.bool_or(wins) | F.bool_and(better)).alias("clima_justificado"),
+        folds.alias("folds"),
+        good("exito_base").alias("exitos_base"),
+        good("exito_rica").alias("exitos_rica"),
+        ((folds > 0) & (good("exito_base") == folds)).alias("base_en_todos"),
+        ((folds > 0) & (good("exito_rica") == folds)).alias("rica_en_todos"),
+        ((folds > 0) & (F.bool_or(evaluable & wins) | F.bool_and(~evaluable | better))).alias("clima_justificado"),
     )

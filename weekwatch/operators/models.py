@@ -131,9 +131,10 @@ def compare_algorithms(train: DataFrame, test: DataFrame, names: Sequence[str],
 
 
 def score_week(path: str, rows: DataFrame, year: int | None = None, week: int | None = None) -> DataFrame:
-    """Stored model applied to one week; the latest when none is asked for. Empty when absent."""
+    """Stored model applied to all rows of one week; the latest when none is asked for. Empty when absent."""
     if year is None or week is None:
-        chosen = rows.orderBy(F.desc("anio"), F.desc("semana")).limit(1)
+        latest = rows.agg(F.max(F.struct("anio", "semana")).alias("s")).select("s.anio", "s.semana")
+        chosen = rows.join(F.broadcast(latest), ["anio", "semana"]).select(*rows.columns)
     else:
         chosen = rows.filter((F.col("anio") == year) & (F.col("semana") == week))
     scored = predict(PipelineModel.load(path), chosen)

@@ -19,10 +19,15 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return rows.groupBy(*keys).agg(winner.alias("_fila")).select(*keys, "_fila.*").select(*rows.columns)
 
 
-def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union of table and batch where the batch row wins; same columns in both."""
+def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Union of table and batch where the batch row wins; same columns in both.
+
+    Of several batch rows with one key the greatest in ``order`` wins, and of equal ones the greatest in its values, so
+    the result does not depend on how rows are dealt out.
+    """
     both = table.withColumn("_lote", F.lit(0)).unionByName(batch.withColumn("_lote", F.lit(1)))
-    return last_wins(both, keys, ["_lote"]).drop("_lote")
+    values = [c for c in table.columns if c not in keys and c not in order]
+    return last_wins(both, keys, ["_lote", *order, *values]).drop("_lote")
 
 
 def insert_absent(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weekwatch.functions import calendar as cal
 from weekwatch.operators.upsert import last_wins
 from weekwatch.sources.positions import positioned
+from weekwatch.sources.tables import SourceContractError, by_name
 
 # Column names of the extract and the codes of a national weekly row.
 COLUMNS = (
@@ -19,14 +20,9 @@ COLUMNS = (
 NATIONAL, WEEKLY, DEFINITION = "Admin0", "Week", "Total"
 
 
-class SourceContractError(ValueError):
-    """The file breaks a rule that must hold before any row is used."""
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; each reader casts what it needs."""
-    schema = ", ".join(f"`{c}` string" for c in COLUMNS)
-    return spark.read.schema(schema).csv(path, header=True)
+    """The known columns as text, found by header name; each reader casts what it needs."""
+    return by_name(spark, path, ", ".join(f"`{c}` string" for c in COLUMNS))
 
 
 def _abort_on(rows: DataFrame, message: str) -> None:
@@ -45,7 +41,7 @@ def national_weeks(spark: SparkSession, path: str) -> DataFrame:
     The printed year is the calendar year and is ignored: the week decides later.
     """
     rows = _weekly_national(read(spark, path))
-    _abort_on(rows.filter(F.col("case_definition_standardised") != DEFINITION), "unexpected case definition")
+    _abort_on(rows.filter(~F.col("case_definition_standardised").eqNullSafe(DEFINITION)), "unexpected case definition")
     return rows.select(
         F.col("adm_0_name").alias("pais"),
         F.col("calendar_start_date").cast("date").alias("fecha_inicio"),
@@ -78,7 +74,7 @@ def strict_weeks(
     for column, value in filters.items():
         rows = rows.filter(F.col(column) == value)
     start, end = F.col("calendar_start_date").cast("date"), F.col("calendar_end_date").cast("date")
-    _abort_on(rows.filter(F.datediff(end, start) != 6), "interval is not seven days")
+    _abort_on(rows.filter(~F.datediff(end, start).eqNullSafe(6)), "interval is not seven days")
     week = cal.week_start(start)
     result = rows.select(
         F.col("adm_0_name").alias("pais"),
@@ -91,9 +87,8 @@ def strict_weeks(
     keys = ["pais", "anio", "semana"]
     _abort_on(result.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate week")
     if rows_per_country is not None:
-        pairs = [F.lit(x) for item in rows_per_country.items() for x in item]
-        wrong = result.groupBy("pais").agg(F.count(F.lit(1)).alias("n")).filter(
-            ~F.coalesce(F.try_element_at(F.create_map(*pairs), "pais") == F.col("n"), F.lit(False))
-        )
-        _abort_on(wrong, "row count differs from the frozen one")
+        frozen = spark.createDataFrame(list(rows_per_country.items()), "esperado string, filas bigint")
+        counted = result.groupBy("pais").agg(F.count(F.lit(1)).alias("n"))
+        both = counted.join(frozen, F.col("pais").eqNullSafe(F.col("esperado")), "full")
+        _abort_on(both.filter(~F.col("n").eqNullSafe(F.col("filas"))), "row count differs from the frozen one")
     return result

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekwatch.operators.weekly import guard_false_zero, to_long
+from weekwatch.sources.tables import SourceContractError
 
 # Names in the response and names of the stored variables.
 VARIABLES: Mapping[str, str] = {
@@ -42,11 +43,20 @@ def responses(spark: SparkSession, path: str, locations: DataFrame) -> DataFrame
 
     ``locations`` has (lote, posicion, region); the request number is the ``lote``
     partition of the path. A response holds the locations one request may name, so
-    a file is small.
+    a file is small. A response without location, a location without response,
+    text that is no JSON and arrays of unequal length abort.
     """
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select("lote", F.posexplode(F.from_json("value", RESPONSE)).alias("posicion", "r"))
-    return parsed.join(locations, ["lote", "posicion"]).select("region", "r.*")
+    parsed = text.select("lote", F.posexplode_outer(F.from_json("value", RESPONSE)).alias("posicion", "r"))
+    joined = parsed.join(locations, ["lote", "posicion"], "full")
+    lost = joined.filter("r IS NULL OR region IS NULL").select("lote", "posicion").limit(1).collect()
+    if lost:
+        raise SourceContractError(f"response and location do not meet: {lost[0].asDict()}")
+    rows = joined.select("region", "r.*")
+    uneven = ragged(rows).limit(1).collect()
+    if uneven:
+        raise SourceContractError(f"variables missing or of unequal length: {uneven[0].asDict()}")
+    return rows
 
 
 def elevations(rows: DataFrame) -> DataFrame:
