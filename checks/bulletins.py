@@ -264,6 +264,39 @@ def t9_notified(spark, d):
     return notified(spark, d)[0].select("archivo", "anio", "version", "estado")
 
 
+view(
+    "not_cortes",
+    """SELECT f.region, d.anio, CAST(d.corte AS INTEGER) AS semana, arg_max(CAST(f.p AS DOUBLE), archivo) AS acum
+    FROM not_filas f JOIN not_docs d USING (archivo)
+    WHERE d.estado IN ('ok', 'ok_discrepancia_minima') AND d.corte IS NOT NULL GROUP BY ALL""",
+)
+
+
+@check(
+    "T13_notified_text_to_points",
+    """SELECT region, anio, CAST(unnest(CASE WHEN previa IS NOT NULL AND semana - previa > 1 THEN generate_series(previa + 1, semana) ELSE [semana] END) AS INTEGER) AS semana,
+        CASE WHEN previa IS NULL THEN acum WHEN semana - previa = 1 AND acum >= antes THEN acum - antes END AS valor
+    FROM (SELECT *, lag(semana) OVER w AS previa, lag(acum) OVER w AS antes FROM not_cortes WINDOW w AS (PARTITION BY region, anio ORDER BY semana))""",
+)
+def t13_notified(spark, d):
+    documents, found = notified(spark, d)
+    counters = cumulative.last_cut_wins(N.cuts(documents, found), ["region"])
+    points = cumulative.deaccumulate(counters, ["region"])
+    return points.select("region", "anio", "semana", F.col("valor").cast("double").alias("valor"))
+
+
+@check(
+    "T10_notified_reviews",
+    """SELECT archivo, CASE WHEN anio = 1999 AND estado = 'revision_manual' THEN 'ok' ELSE estado END AS estado,
+        anio = 1999 AND estado = 'revision_manual' AS revisado FROM not_docs""",
+)
+def t10_notified(spark, d):
+    documents = notified(spark, d)[0]
+    return B.apply_reviews(documents, reviews(documents)).select(
+        "archivo", "estado", F.col("nota").endswith("aceptado tras revision").alias("revisado")
+    )
+
+
 @check(
     "T4_notified_cut_week",
     f"""SELECT archivo, corte AS semana_corte, fuente AS fuente_semana,

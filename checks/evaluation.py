@@ -503,7 +503,7 @@ def m21(spark, d):
     rows = model_rows(spark, d)
     preds = models.compare_algorithms(
         rows.filter("anio < 2001"), rows.filter("anio = 2001").select("region", "anio", "semana", "etiqueta", *MODEL_NAMES),
-        MODEL_NAMES, trees=20, depth=5,
+        MODEL_NAMES, trees=20, depth=5, rounds=10, iterations=100,
     )
     return metrics.class_metrics(preds, ["algoritmo"], real="etiqueta").select("algoritmo", "f1_macro", "recall_alto", "soporte_alto")
 

@@ -140,3 +140,17 @@ def test_discards_apply_in_order(spark):
     rows = features.training_set(labels, feats, ["x"], [2020])
     got = {r.motivo: r.filas for r in features.discard_counts(rows).collect()}
     assert got == {"anio_excluido": 1, "m": 1, "filas_finales": 1, "sin_historia_climatica": 1}
+
+
+def test_variants_are_compared_over_evaluable_folds_only(spark):
+    rows = [
+        (2001, "a", True, 0.9, 0.9, 0.9, 0.9), (2001, "b", False, 0.5, 0.5, 0.5, 0.5),
+        (2002, "a", None, 0.1, 0.1, None, None), (2002, "b", None, 0.9, 0.9, None, None),
+    ]
+    stable = spark.createDataFrame(
+        rows, "anio int, variante string, exito_estable boolean, f1_min double, f1_max double, recall_min double, recall_max double"
+    )
+    got = metrics.compare_variants(stable, ["anio"], "b", "a").first()
+    assert (got.folds, got.exitos_rica, got.exitos_base, got.rica_en_todos, got.base_en_todos, got.clima_justificado) == (1, 1, 0, True, False, True)
+    none = metrics.compare_variants(stable.filter("anio = 2002"), ["anio"], "b", "a").first()
+    assert (none.folds, none.rica_en_todos, none.clima_justificado) == (0, False, False)

@@ -173,9 +173,19 @@ def analyse(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.coalesce(other_week, F.lit(False)), "revision_manual")
         .otherwise(accepted)
     )
+    note = (
+        F.when(F.col("pagina").isNull(), "sin tabla")
+        .when(F.col("n_filas") == 0, "tabla sin filas legibles")
+        .when(F.col("n_filas") < F.col("_esperadas"), F.format_string("faltan lugares: %d de %d", "n_filas", "_esperadas"))
+        .when(mismatch, F.format_string("la suma difiere del total: %s", F.col("_cercano.diferencia").cast("string")))
+        .when(F.col("semana_corte").isNull(), "sin semana de corte")
+        .when(F.coalesce(other_week, F.lit(False)), "semana de corte distinta de la del archivo")
+        .otherwise("")
+    )
     documents = joined.select(
         *B.DOCUMENT,
         state.alias("estado"),
+        note.alias("nota"),
         "disposicion",
         "semana_corte",
         "fuente_semana",

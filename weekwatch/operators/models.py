@@ -110,15 +110,18 @@ def importances(model: PipelineModel, names: Sequence[str], top: int = 10) -> Da
     return table.orderBy(F.desc("importancia"), "variable").limit(top)
 
 
-def compare_algorithms(train: DataFrame, test: DataFrame, names: Sequence[str], trees: int = 300, depth: int = 10, seed: int = 42) -> DataFrame:
+def compare_algorithms(
+    train: DataFrame, test: DataFrame, names: Sequence[str], trees: int = 300, depth: int = 10, seed: int = 42,
+    rounds: int = 100, iterations: int = 2000,
+) -> DataFrame:
     """Predictions of forest, boosting and scaled logistic regression on one split."""
     require_rows(train)
     ready = with_weights(with_label(train)).cache()
     boosting = OneVsRest(
-        classifier=GBTClassifier(maxIter=10, maxDepth=3, seed=seed), labelCol="label", featuresCol="features"
+        classifier=GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed), labelCol="label", featuresCol="features"
     )
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    logistic = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="peso", maxIter=100)
+    logistic = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="peso", maxIter=iterations)
     forest = RandomForestClassifier(labelCol="label", weightCol="peso", numTrees=trees, maxDepth=depth, seed=seed)
     stages = {"bosque": [forest], "refuerzo": [boosting], "logistica": [scaler, logistic]}
     parts = []
