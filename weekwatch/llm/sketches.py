@@ -106,25 +106,30 @@ def _following(keys: DataFrame) -> DataFrame:
     return inside.join(jump, "b", "left").select("k", F.coalesce("next_k", "jump").alias("next_k"))
 
 
-def with_next(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(df: DataFrame, id_column: str = "doc_id", text: str = "text", more=lambda rows: rows) -> DataFrame:
     """``(id, text, next_text)``: each text with that of the next id; after the last comes the first.
 
+    Columns that ``more`` adds to ``text`` come along, those of the next row under ``next_`` and their name.
+
     Ids are dealt to windows of 2^12 consecutive numbers; the first text of a window is looked up for the last of the
     window before.
     """
     rows = df.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("text"),
                      F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("k")).withColumn(
         "b", F.shiftright("k", _SPAN))
-    firsts = stored(rows.groupBy("b").agg(F.min("k").alias("k")))
-    heads = rows.select("k", "text").join(firsts.select("k"), "k").groupBy("k").agg(F.min("text").alias("head"))
+    plain, rows = rows, more(rows)
+    own = ["text", *(c for c in rows.columns if c not in plain.columns)]
+    firsts = stored(plain.groupBy("b").agg(F.min("k").alias("k")))
+    heads = more(plain.select("k", "text").join(firsts.select("k"), "k").groupBy("k").agg(F.min("text").alias("text")))
     order = _following(firsts.select(F.col("b").alias("k"))).select(F.col("k").alias("b"), F.col("next_k").alias("nb"))
     lowest = firsts.agg(F.min("b").alias("lowest"))
     start = lowest.first()[0]
-    named = firsts.join(heads, "k").select(F.col("b").alias("nb"), "head")
+    named = firsts.join(heads, "k").select(F.col("b").alias("nb"), F.struct(*own).alias("head"))
     heads_of = order.withColumn("nb", F.coalesce("nb", F.lit(start))).join(named, "nb").select("b", "head")
     w = W.partitionBy("b").orderBy("k", "text")
-    led = rows.withColumn("next_text", F.lead("text").over(w))
-    return led.join(heads_of, "b").select(id_column, "text", F.coalesce("next_text", "head").alias("next_text"))
+    led = rows.withColumn("_next", F.lead(F.struct(*own)).over(w))
+    following = F.coalesce("_next", "head")
+    return led.join(heads_of, "b").select(id_column, *own, *[following[c].alias(f"next_{c}") for c in own])
 
 
 def fingerprint_edits(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,10 +138,11 @@ def fingerprint_edits(df: DataFrame, id_column: str = "doc_id", text: str = "tex
     quarter = F.expr("CAST(length(text) div 4 AS INT)")
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(length(text) div 4 AS INT))"),
                       F.substring("next_text", F.lit(1), quarter))
-    rows = with_next(df, id_column, text).withColumn("edited", edited).select(
+    sketch = lambda rows: rows.withColumn("a", digests(F.col("text"))).withColumn("sa", F.expr(cells("a", CELLS)))
+    rows = with_next(df, id_column, text, sketch).withColumn("edited", edited).select(
         id_column, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
-    sketched = rows.select("*", *[F.expr(cells(c, CELLS)).alias(f"s{c}") for c in "aex"])
+        "a", "sa", digests(F.col("edited")).alias("e"), F.col("next_a").alias("x"), F.col("next_sa").alias("sx"))
+    sketched = rows.withColumn("se", F.expr(cells("e", CELLS)))
     return sketched.select(
         id_column, "n_chars", "edited_sha256", written("sa").alias("fingerprint"), written("se").alias("edited_fingerprint"),
         likeness("a", "e", "sa", "se").alias("near_edited"), likeness("a", "x", "sa", "sx").alias("near_next"))
