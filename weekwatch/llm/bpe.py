@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Pre-tokens remembered by a Python worker before it starts again; bounds its memory, never the result.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 300_000
 #: Bytes of new pre-tokens merged in one queue, characters split into pre-tokens at a time, rows of an Arrow batch.
-QUEUE_BYTES, SPLIT_CHARS, BATCH_ROWS = 1_000_000, 1_500_000, 500
+QUEUE_BYTES, SPLIT_CHARS, BATCH_ROWS = 2_000_000, 3_000_000, 1_000
 
 
 class RankQueue:
