@@ -71,15 +71,16 @@ def peel(cell_array: str, size: int) -> str:
 def difference(a: str, b: str) -> str:
     """SQL of the number of digests in one array only, by sketches of growing size."""
     bits = f"CAST(greatest(0, ceil(log2(greatest(1, (size({a}) + size({b})) / {PART_DIGESTS}D)))) AS INT)"
-    half = f"(({bits}) div 2)"
-    outer = f"transform(sequence(0, shiftleft(1, {half}) - 1), g -> named_struct(" + ", ".join(
-        f"'{n}', filter({x}, d -> shiftright(d, 60 - {half}) = g)" for n, x in (("a", a), ("b", b))) + "))"
-    inner = f"""flatten(transform({outer}, o -> transform(
-        sequence(0, shiftleft(1, {bits} - {half}) - 1), h -> named_struct(""" + ", ".join(
-        f"'{n}', filter(o.{n}, d -> shiftright(d, 60 - {bits}) % shiftleft(1, {bits} - {half}) = h)" for n in "ab") + "))))"
+    bound = f"""transform(array({bits}), k -> named_struct('outer', sequence(0, shiftleft(1, k div 2) - 1), 'far', 60 - k div 2,
+        'inner', sequence(0, shiftleft(1, k - k div 2) - 1), 'near', 60 - k, 'mask', CAST(shiftleft(1, k - k div 2) - 1 AS BIGINT)))"""
+    outer = "transform(v.outer, g -> named_struct(" + ", ".join(
+        f"'{n}', filter({x}, d -> shiftright(d, v.far) = g)" for n, x in (("a", a), ("b", b))) + "))"
+    inner = f"flatten(transform({outer}, o -> transform(v.inner, h -> named_struct(" + ", ".join(
+        f"'{n}', filter(o.{n}, d -> (shiftright(d, v.near) & v.mask) = h)" for n in "ab") + "))))"
     tries = ", ".join(peel(subtract(cells("p.a", PART_CELLS * 4**k), cells("p.b", PART_CELLS * 4**k)), PART_CELLS * 4**k)
                       for k in range(ATTEMPTS))
-    return f"aggregate({inner}, 0, (total, p) -> total + coalesce({tries}, size(p.a) + size(p.b)))"
+    total = f"aggregate({inner}, 0, (total, p) -> total + coalesce({tries}, size(p.a) + size(p.b)))"
+    return f"transform({bound}, v -> {total})[0]"
 
 
 def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
