@@ -57,6 +57,20 @@ def test_toxicity_learns_and_tolerates(spark, frame):
     assert toxicity.score(frame([]), model).count() == 0
 
 
+def test_landmarks_cover_a_small_language(spark, frame):
+    rows = sentences(400, 1)
+    rng = random.Random(4)
+    families = ["".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(30)]
+    many = [(1_000 + i, f"river {rng.choice(families)} stone letter", 1) for i in range(1_200)]
+    small = [(3_000 + i, "nopqrs montaña valle " + ("zurruxo" if i % 2 else "quieto") + " camino", i % 2) for i in range(40)]
+    docs = rows + many + small
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int")
+    model = toxicity.train(frame([(i, t) for i, t, _ in docs]), labels)
+    assert "zurruxo" in model.marks
+    got = {r.doc_id: r.score for r in toxicity.score(frame([(1, "valle zurruxo de montaña"), (2, "valle quieto de montaña")]), model).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
 def test_toxicity_without_both_labels(spark, frame):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     model = toxicity.train(frame([(1, "a b c")]), labels)

@@ -27,10 +27,12 @@ from weekwatch.session import stored
 
 ORDER, DECAY = 3, 0.7
 #: Bound of the labelled rows learned from; landmarks; longest window (longer words are cut into overlapping ones).
-TRAIN_ROWS, LANDMARKS, LONGEST = 20_000, 24, 16
+TRAIN_ROWS, LANDMARKS, LONGEST = 20_000, 128, 16
 #: Similarities below this, and those to words without so many of a landmark's characters, count as none; words
 #: remembered by a Python worker.
 FLOOR, MISSING, KNOWN_WORDS = 0.25, 0.4, 200_000
+#: Common words among the landmarks; words that landmarks are chosen from; similarity at which a word covers another.
+COMMON, CANDIDATES, NEAR, SURE = 8, 1_500, 0.5, 4
 COSTS = (0.02, 0.005, 0.1, 0.5, 2.0, 10.0)
 _SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _EDGES = " .,;:!?\"'()[]{}|#*$%&-_/+=<>~^@`"
@@ -169,22 +171,68 @@ class Featurer:
         return out
 
 
+def cover(words: list[str], clean: np.ndarray, bags: list[list[int]], count: int) -> list[int]:
+    """Numbers of up to ``count`` words, each the one that covers most label-1 texts not yet near any before it.
+
+    A text is near a word if it holds one at least ``NEAR`` like it; ``clean`` are the shares of label-0 texts with the
+    words. What a word covers in label-0 texts counts against it. ``bags`` are the words of each
+    label-1 text. A word must cover ``SURE`` standard deviations more than its share of label-0 texts foretells, or it
+    would be noise. When nothing is left to cover, the next round begins with all texts again.
+    """
+    like = similarities(words, words) >= NEAR
+    np.fill_diagonal(like, True)
+    holds = np.zeros((len(bags), len(words)), dtype=bool)
+    for i, bag in enumerate(bags):
+        holds[i, bag] = True
+    near = np.zeros_like(holds)
+    for j in range(len(words)):
+        near[:, j] = holds[:, np.flatnonzero(like[j])].any(axis=1)
+    against = np.minimum(like @ clean, 1)
+    foretold = against * len(bags)
+    free = near.sum(axis=0) - foretold >= SURE * np.sqrt(foretold + 1)
+    chosen, open_texts = [], np.ones(len(bags), dtype=bool)
+    while len(chosen) < count and free.any():
+        gain = near[open_texts].sum(axis=0) / max(1, len(bags)) - against
+        gain[~free] = -np.inf
+        best = int(gain.argmax())
+        if gain[best] <= 0:
+            if open_texts.all():
+                break
+            open_texts[:] = True
+            continue
+        chosen.append(best)
+        free[best] = False
+        open_texts &= ~near[:, best]
+    return chosen
+
+
 def landmarks(train: DataFrame, text: str, label: str, count: int = LANDMARKS) -> list[str]:
-    """Two thirds of the landmarks are the words that most set label 1 apart, the others the most common words."""
+    """Words that set label 1 apart, chosen so that they cover its texts, then up to ``COMMON`` most common words."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bags = [{p for w in windows(t or "") for p in _pieces(w) if ORDER <= len(p)} for t in pdf["text"]]
-            yield pd.DataFrame({"word": [w for bag in bags for w in bag],
-                                "y": [y for y, bag in zip(pdf["y"], bags) for _ in bag]})
+            yield pd.DataFrame({"word": [w for bag in bags for w in bag], "y": [y for y, bag in zip(pdf["y"], bags) for _ in bag],
+                                "row": [r for r, bag in zip(pdf["row"], bags) for _ in bag]})
 
-    bags = train.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).mapInPandas(words, "word string, y int")
+    rows = train.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64("_id", text).alias("row"))
+    bags = stored(rows.mapInPandas(words, "word string, y int, row long"))
     sums = stored(bags.groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).filter("n > 2"))
-    apart = F.col("toxic") / F.sqrt(F.col("n")) * (F.col("toxic") / F.col("n"))
-    leading = sums.orderBy(apart.desc(), "word").limit(count * 2 // 3).select("word")
+    size = rows.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
+    ratio = size["toxic"] / max(1, size["n"] - size["toxic"])
+    excess = F.col("toxic") - (F.col("n") - F.col("toxic")) * ratio
+    apart = sums.filter(excess > 0).orderBy((excess * F.col("toxic") / F.col("n")).desc(), "word").limit(CANDIDATES).collect()
     common = sums.filter(F.length("word") > ORDER + 1).orderBy(F.col("n").desc(), "word").limit(count).select("word")
-    first = [r.word for r in leading.collect()]
-    return (first + [r.word for r in common.collect() if r.word not in first])[:count]
+    words_of = [r["word"] for r in apart]
+    clean = np.array([r["n"] - r["toxic"] for r in apart], dtype=np.float64)
+    number = {w: i for i, w in enumerate(words_of)}
+    held = bags.filter("y = 1").join(F.broadcast(sums.sparkSession.createDataFrame([(w,) for w in words_of], "word string")), "word")
+    of: dict[int, list[int]] = {}
+    for r in held.select("row", "word").toLocalIterator():
+        of.setdefault(r["row"], []).append(number[r["word"]])
+    first = cover(words_of, clean / max(1, size["n"] - size["toxic"]), list(of.values()), count - COMMON) if words_of else []
+    first = [words_of[i] for i in first]
+    return first + [r.word for r in common.collect() if r.word not in first][: min(COMMON, count - len(first))]
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float, rounds: int = 60) -> tuple[np.ndarray, float]:
