@@ -37,3 +37,25 @@ def test_table(spark):
     got = html_text.extract(df).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "a b", 3), (1, "a b", 3), (None, "", 0)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_page_without_article_keeps_all_content():
+    items = "".join(f"<li>Item number {i} is a long line, with commas, and it holds most of the text.</li>" for i in range(12))
+    page = f"<body><div id=content><h1>Head</h1><p>First, a paragraph.</p><p>Second, another.</p><ul>{items}</ul></div></body>"
+    got = html_text.main_text(page).split("\n\n")
+    assert got[:3] == ["Head", "First, a paragraph.", "Second, another."] and len(got) == 15
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_two_parts_are_both_kept(tag):
+    part = lambda name, n: f"<{tag}>" + "".join(
+        f"<p>{name} sentence {i}, of many, in a part of the page.</p>" for i in range(n)) + f"</{tag}>"
+    got = html_text.main_text(f"<body>{part('Large', 16)}{part('Small', 4)}</body>")
+    assert got.count("Large") == 16 and got.count("Small") == 4
+
+
+def test_chrome_of_low_score_outside_content_goes():
+    links = "".join(f"<div><a href=x>L{i}</a></div>" for i in range(30))
+    body = "".join(f"<p>Sentence {i}, of many, is long enough, and has marks; it is content.</p>" for i in range(20))
+    got = html_text.main_text(f"<body><section>{links}</section><main><h2>Hi</h2>{body}</main></body>")
+    assert got.startswith("Hi\n\nSentence 0") and "L3" not in got

@@ -2,8 +2,8 @@
 
 A page is read as text nodes, each with the path of block elements from the root to it. Text length, punctuation and
 nodes are added up for each path; text per node and punctuation per node are smoothed along the page and fused into one
-score, and nodes whose path passes a threshold are content. The element that holds the content nodes together is the
-article; everything in it is returned, so short paragraphs and headings between content nodes stay. Elements that
+score, and nodes of a path that passes a threshold are content. The innermost element that holds all content nodes is
+the article; everything in it is returned, so short paragraphs and headings beside content nodes stay. Elements that
 markup declares to be no content (navigation, forms, adverts, comments, ...) are not nodes at all.
 
 Every page is on its own, so nothing is shuffled and a lost executor only repeats its pages. Defined results: a null or
@@ -21,8 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Share of the mean fused score that makes a path content, and of the content an element must hold to be descended into.
-THRESHOLD, HOLD = 0.35, 0.75
+#: Share of the mean fused score that makes a path content.
+THRESHOLD = 0.35
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -145,22 +145,13 @@ def main_text(page: str | None) -> str:
     if not nodes:
         return ""
     score = path_scores(nodes)
-    content = np.flatnonzero(score >= THRESHOLD * score.mean())
-    weight = {int(i): len(nodes[i][1]) for i in content}
-    total, depth, inside = sum(weight.values()), 0, list(range(len(nodes)))
-    while True:  # down to the element that holds the content together
-        held: dict[tuple[int, str], int] = {}
-        for i in inside:
-            if len(nodes[i][0]) > depth:
-                held[nodes[i][0][depth]] = held.get(nodes[i][0][depth], 0) + weight.get(i, 0)
-        best = max(held, key=held.get, default=None)
-        if best is None or held[best] < HOLD * total or best[1] not in _SCOPE:
-            break
-        inside = [i for i in inside if len(nodes[i][0]) > depth and nodes[i][0][depth] == best]
-        depth += 1
-        if best[1] in ("article", "main"):
-            break
-    return "\n\n".join(nodes[i][1] for i in inside)
+    paths = ["/".join(t for _, t in chain) for chain, _ in nodes]
+    passing = {path for path, own in zip(paths, score) if own >= THRESHOLD * score.mean()}
+    content = [chain for (chain, _), path in zip(nodes, paths) if path in passing]
+    depth = 0
+    while all(len(c) > depth and c[depth] == content[0][depth] and c[depth][1] in _SCOPE for c in content):
+        depth += 1  # down to the innermost element that leaves no content node outside
+    return "\n\n".join(text for chain, text in nodes if chain[:depth] == content[0][:depth])
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
