@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from checks.base import check, view
 from checks.baselines import KEYS, prospective, regional
@@ -473,6 +475,8 @@ def m19(spark, d):
 
 MODEL_VARS = ("temp_media", "precipitation_sum", "humedad_relativa_media")
 MODEL_NAMES = features.feature_names(MODEL_VARS)
+#: Ten seeds for stability and the reference seed.
+SEEDS = (*range(10), 42)
 
 
 def model_rows(spark, d):
@@ -487,31 +491,34 @@ def model_rows(spark, d):
 
 @check("M8_forest_fold_predictions")
 def m8(spark, d):
-    rows = folds.forward_chaining(model_rows(spark, d), (2000,), TARGETS, [A.EXCLUDED_YEAR])
-    preds = models.fold_predictions(rows, MODEL_NAMES, (2000,), seeds=(0, 1), trees=20, depth=5)
+    rows = stored(folds.forward_chaining(model_rows(spark, d), EXTERNAL, TARGETS, [A.EXCLUDED_YEAR]))
+    preds = models.fold_predictions(rows, MODEL_NAMES, EXTERNAL, seeds=SEEDS)
     return preds.select("region", "anio", "semana", "semilla", "etiqueta", "pred", "p_bajo", "p_medio", "p_alto")
 
 
 @check("M20_feature_importance")
 def m20(spark, d):
-    model = models.fit_forest(model_rows(spark, d), MODEL_NAMES, trees=20, depth=5)
+    model = models.fit_forest(model_rows(spark, d), MODEL_NAMES)
     return models.importances(model, MODEL_NAMES)
 
 
 @check("M21_algorithm_comparison")
 def m21(spark, d):
-    rows = model_rows(spark, d)
-    preds = models.compare_algorithms(
-        rows.filter("anio < 2001"), rows.filter("anio = 2001").select("region", "anio", "semana", "etiqueta", *MODEL_NAMES),
-        MODEL_NAMES, trees=20, depth=5, rounds=10, iterations=100,
-    )
-    return metrics.class_metrics(preds, ["algoritmo"], real="etiqueta").select("algoritmo", "f1_macro", "recall_alto", "soporte_alto")
+    rows = stored(folds.forward_chaining(model_rows(spark, d), EXTERNAL, TARGETS, [A.EXCLUDED_YEAR]))
+    parts = []
+    for year in EXTERNAL:
+        own = rows.filter(F.col("anio_externo") == year)
+        test = own.filter("rol = 'prueba'").select("anio_externo", "region", "anio", "semana", "etiqueta", *MODEL_NAMES)
+        parts.append(models.compare_algorithms(own.filter("rol = 'entrenamiento'"), test, MODEL_NAMES))
+    preds = reduce(DataFrame.unionByName, parts)
+    scores = metrics.class_metrics(preds, ["anio_externo", "algoritmo"], real="etiqueta")
+    return scores.select("anio_externo", "algoritmo", "f1_macro", "recall_alto", "soporte_alto")
 
 
 def _stored(spark, d):
     rows = model_rows(spark, d)
     path = new_path(spark, "modelo")
-    models.fit_forest(rows, MODEL_NAMES, trees=20, depth=5).write().save(path)
+    models.fit_forest(rows, MODEL_NAMES).write().save(path)
     return rows, path
 
 

@@ -154,3 +154,31 @@ def test_variants_are_compared_over_evaluable_folds_only(spark):
     assert (got.folds, got.exitos_rica, got.exitos_base, got.rica_en_todos, got.base_en_todos, got.clima_justificado) == (1, 1, 0, True, False, True)
     none = metrics.compare_variants(stable.filter("anio = 2002"), ["anio"], "b", "a").first()
     assert (none.folds, none.rica_en_todos, none.clima_justificado) == (0, False, False)
+
+
+def test_model_queries_are_registered_whole(spark, monkeypatch):
+    from checks import evaluation as ev
+
+    columns = {n: 1.0 for n in ev.MODEL_NAMES}
+    rows = spark.createDataFrame([("a", y, w, "bajo") for y in range(1995, 2002) for w in (1, 2)],
+                                 "region string, anio int, semana int, etiqueta string")
+    rows = rows.withColumns({n: F.lit(v) for n, v in columns.items()})
+    asked = []
+
+    def predictions(rows, names, folds, seeds=(42,), trees=300, depth=10):
+        asked.append((tuple(folds), tuple(seeds), trees, depth))
+        return rows.selectExpr("*", "0 AS semilla", "etiqueta AS pred", "1.0 AS p_bajo", "0.0 AS p_medio", "0.0 AS p_alto")
+
+    def compare(train, test, names, trees=300, depth=10, seed=42, rounds=100, iterations=2000):
+        asked.append((sorted({r.anio for r in train.collect()}), sorted({r.anio for r in test.collect()}), trees, depth, rounds, iterations))
+        return test.selectExpr("*", "etiqueta AS pred", "'bosque' AS algoritmo")
+
+    monkeypatch.setattr(ev, "model_rows", lambda spark, d: rows)
+    monkeypatch.setattr(models, "fold_predictions", predictions)
+    monkeypatch.setattr(models, "compare_algorithms", compare)
+    ev.m8(spark, "")
+    assert asked == [((1999, 2000, 2001), (*range(10), 42), 300, 10)]
+    asked.clear()
+    assert {r.anio_externo for r in ev.m21(spark, "").collect()} == {1999, 2000, 2001}
+    assert asked == [([1997], [1999], 300, 10, 100, 2000), ([1997, 1999], [2000], 300, 10, 100, 2000),
+                     ([1997, 1999, 2000], [2001], 300, 10, 100, 2000)]
