@@ -31,6 +31,11 @@ def test_gaps_stay_near():
     assert "idiot" in toxicity.windows("you i d i o t there") and "idiot" in toxicity._pieces("i.d.i.o.t")
 
 
+@pytest.mark.parametrize("stars", [1, 2, 3, 9])
+def test_letters_of_long_words_are_tried(stars):
+    assert "idiot" in toxicity._pieces(("*" * stars).join("idiot"))
+
+
 def sentences(count, seed):
     rng = random.Random(seed)
     plain = "river stone valley morning letter garden window summer paper light water bridge".split()

@@ -51,8 +51,9 @@ def _pieces(word: str) -> list[str]:
     plain = "".join(filter(str.isalnum, word))
     if len(word) <= LONGEST:
         return [word] if plain == word else [word, plain]
-    word = plain if len(plain) * 2 > len(word) else word
-    return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    forms = [plain] if len(plain) * 2 > len(word) else [word, plain]
+    return [form[i : i + LONGEST] for form in forms
+            for i in range(0, max(1, len(form) - LONGEST // 2), LONGEST // 2)]
 
 
 def _codes(words: list[str], width: int, pad: int) -> np.ndarray:
