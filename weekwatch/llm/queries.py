@@ -151,3 +151,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = quality.grade(docs, quality.train(docs, ratings, 3))
     return graded.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_above_0"), F.col("tails")[1].alias("p_above_1"),
                          (F.col("tails")[1] >= 0.5).alias("keep"))
+
+
+@query("op13_tree_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from weekwatch.llm import tree_bpe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = tree_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
