@@ -162,3 +162,54 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = tree_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op11_grammar_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the words of each document; in every tenth one the words from a chosen one on repeat with a period."""
+    from pyspark.sql import functions as F
+
+    from weekwatch.llm import word_runs
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    # without lambdas, so that the expression may stand below a Python function
+    words, g = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), F.floor(F.col("h") / 10)
+    n = F.greatest(F.size(words), F.lit(1))
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    periodic = F.array_join(F.slice(F.concat(F.slice(words, 1, a), again), F.lit(1), n), " ")
+    text = F.when(F.col("h") % 10 == 0, periodic).otherwise(F.col("text"))
+    done = word_runs.collapse_runs(docs.select("doc_id", text.alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return done.withColumns({"best": best, "listed": listed}).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length",
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_multi_index_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+    FROM (SELECT * FROM e WHERE vec_id % 100 = 0) a JOIN e r ON a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS k
+    FROM p JOIN (SELECT * FROM s WHERE NOT same) USING (anchor_id)
+    WHERE 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 5""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from weekwatch.llm import multi_index
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(rows, F.col("vec_id") % 100 == 0, label=moved)
