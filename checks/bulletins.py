@@ -10,7 +10,7 @@ from weekwatch.operators import bulletins_lab as L
 from weekwatch.operators import bulletins_notified as N
 from weekwatch.operators import cumulative
 from weekwatch.plans import adapters as A
-from weekwatch.plans import bulletin_texts
+from weekwatch.plans import bulletin_texts, notified_event
 from weekwatch.session import new_path, stored
 from weekwatch.sources import bulletin_files
 
@@ -323,3 +323,69 @@ def t5_notified(spark, d):
 def a21(spark, d):
     documents = notified(spark, d)[0].filter("n_filas > 0")
     return documents.select("archivo", "suma", "otros", "total_impreso", "diferencia")
+
+
+view("not_vigentes", "SELECT * FROM not_docs QUALIFY row_number() OVER (PARTITION BY anio, semana ORDER BY version DESC, archivo DESC) = 1")
+view(
+    "not_orden",
+    """SELECT archivo, lag(archivo) OVER (PARTITION BY anio ORDER BY corte, archivo) AS previo FROM not_vigentes
+    WHERE estado IN ('ok', 'ok_discrepancia_minima') AND corte IS NOT NULL""",
+)
+view("not_tablas", "SELECT archivo, list({'r': region, 'p': p} ORDER BY region) AS filas FROM not_filas GROUP BY archivo")
+view(
+    "not_repetidas",
+    """SELECT o.archivo, o.previo FROM not_orden o JOIN not_tablas a ON a.archivo = o.archivo JOIN not_tablas b ON b.archivo = o.previo
+    WHERE a.filas = b.filas""",
+)
+view(
+    "not_finales",
+    """SELECT v.* REPLACE (CASE WHEN previo IS NOT NULL THEN 'revision_manual' ELSE estado END AS estado), previo
+    FROM not_vigentes v LEFT JOIN not_repetidas r ON r.archivo = v.archivo""",
+)
+view(
+    "not_puntos",
+    """SELECT *, CASE WHEN previa IS NULL AND semana > 1 THEN 'primer_corte' WHEN previa IS NULL THEN 'valor' WHEN semana - previa > 1 THEN 'hueco'
+            WHEN acum < antes THEN 'correccion' ELSE 'valor' END AS tipo
+    FROM (SELECT *, lag(semana) OVER w AS previa, lag(acum) OVER w AS antes FROM (
+            SELECT f.region, d.anio, CAST(d.corte AS INTEGER) AS semana, arg_max(CAST(f.p AS DOUBLE), archivo) AS acum
+            FROM not_filas f JOIN not_finales d USING (archivo)
+            WHERE d.estado IN ('ok', 'ok_discrepancia_minima') AND d.corte IS NOT NULL GROUP BY ALL)
+          WINDOW w AS (PARTITION BY region, anio ORDER BY semana))""",
+)
+
+
+def notified_event_of(spark, d):
+    return notified_event.documents_and_rows(notified_pages(spark, d), names(spark, d))
+
+
+@check("T9_notified_reprints", "SELECT archivo, estado, previo IS NOT NULL AS repetida FROM not_finales")
+def t9_reprints(spark, d):
+    documents, _ = notified_event_of(spark, d)
+    return documents.select("archivo", "estado", F.col("nota").startswith("la tabla repite").alias("repetida"))
+
+
+@check(
+    "T13_notified_fact_rows",
+    """SELECT region, 'ira' AS evento, anio, semana, 'notificado' AS clasificacion, 'boletin' AS fuente,
+        CAST(CASE WHEN previa IS NULL THEN acum ELSE acum - antes END AS INTEGER) AS conteo FROM not_puntos WHERE tipo = 'valor'
+    UNION ALL SELECT 0, 'ira', 1990, 1, 'notificado', 'boletin', 7""",
+)
+def t13_facts(spark, d):
+    """Loaded twice over a fact with stale counts of even weeks and one row of its own."""
+    rows = stored(notified_event.fact_rows(notified_event.weekly_points(*notified_event_of(spark, d)), A.regions(spark, d), "ira", "boletin"))
+    own = spark.range(1).select(
+        F.lit(0).alias("region"), F.lit("ira").alias("evento"), F.lit(1990).alias("anio"), F.lit(1).alias("semana"),
+        F.lit("notificado").alias("clasificacion"), F.lit("boletin").alias("fuente"), F.lit(7).alias("conteo"))
+    stale = rows.filter("semana % 2 = 0").withColumn("conteo", F.lit(-1))
+    return notified_event.load(notified_event.load(stale.unionByName(own), rows), rows)
+
+
+@check(
+    "T13_notified_load_report",
+    """SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS leidas, CAST(coalesce(sum(n) FILTER (tipo = 'valor'), 0) AS BIGINT) AS insertadas,
+        CAST(coalesce(sum(n) FILTER (tipo = 'primer_corte'), 0) AS BIGINT) AS primeros_cortes, CAST(coalesce(sum(n) FILTER (tipo = 'hueco'), 0) AS BIGINT) AS huecos,
+        CAST(coalesce(sum(n) FILTER (tipo = 'correccion'), 0) AS BIGINT) AS correcciones
+    FROM (SELECT tipo, CASE WHEN tipo = 'hueco' THEN semana - previa ELSE 1 END AS n FROM not_puntos)""",
+)
+def t13_report(spark, d):
+    return notified_event.load_report(notified_event.weekly_points(*notified_event_of(spark, d)))

@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from checks.base import check, view
-from checks.baselines import KEYS, prospective, regional
+from checks.base import check, history, view
+from checks.baselines import EARLIER, KEYS, label_sql, regional
 from checks.relational import lab_series
 from checks.weather import n_regions, weekly_long, with_index  # noqa: F401
 from weekwatch.functions.classify import CLASSES
-from weekwatch.operators import channel, features, folds, metrics, models, weekly
+from weekwatch.operators import channel, features, folds, forests, metrics, models, weekly
 from weekwatch.plans import adapters as A
 from weekwatch.session import new_path, stored
 
@@ -476,7 +476,7 @@ def m19(spark, d):
 MODEL_VARS = ("temp_media", "precipitation_sum", "humedad_relativa_media")
 MODEL_NAMES = features.feature_names(MODEL_VARS)
 #: Ten seeds for stability and the reference seed.
-SEEDS = (*range(10), 42)
+MODEL_SEEDS = (*range(10), 42)
 
 
 def model_rows(spark, d):
@@ -489,11 +489,75 @@ def model_rows(spark, d):
     return stored(usable)
 
 
+view("serie_lab", "SELECT region, anio, semana, sum(conteo)::DOUBLE AS valor FROM obs WHERE clase IN ('probable', 'confirmado') GROUP BY ALL")
+view("hist_lab", history("serie_lab", "region", 1, EARLIER))
+view("etiquetas_lab", label_sql("hist_lab", 6, 2))
+view("tres_i", "SELECT t.*, CAST(date_diff('day', DATE '1970-01-04', fecha_inicio) // 7 AS INTEGER) AS indice FROM tres t JOIN cal USING (anio, semana)")
+_BEFORE = " ".join(
+    f"JOIN tres_i l{k} ON l{k}.region = t.region AND l{k}.indice = t.indice - {k} AND " + " AND ".join(f"l{k}.{v} IS NOT NULL" for v in MODEL_VARS)
+    for k in range(1, 5)
+)
+view(
+    "modelables",
+    f"""SELECT e.region, e.anio, e.semana, e.etiqueta FROM etiquetas_lab e JOIN tres_i t ON t.region = e.region AND t.anio = e.anio AND t.semana = e.semana
+    {_BEFORE} WHERE e.anio <> 1998 AND e.etiqueta IS NOT NULL""",
+)
+
+
+@check("Q10_regional_training_rows", "SELECT * FROM modelables")
+def q10_regional(spark, d):
+    return model_rows(spark, d).select("region", "anio", "semana", "etiqueta")
+
+
+ROW = ["region", "anio", "semana"]
+
+
+def forward_forests(spark, d):
+    rows = stored(folds.forward_chaining(model_rows(spark, d), EXTERNAL, TARGETS, [A.EXCLUDED_YEAR]))
+    return forests.fold_predictions(rows, MODEL_NAMES, ["anio_externo"], ROW, MODEL_SEEDS)
+
+
+def key_out_forests(spark, d):
+    rows = stored(folds.key_out_forward(model_rows(spark, d), "region", EXTERNAL, TARGETS, [A.EXCLUDED_YEAR]))
+    return forests.fold_predictions(rows, MODEL_NAMES, ["clave_externa", "anio_externo"], ROW, MODEL_SEEDS)
+
+
+def prediction_facts(preds, *keys):
+    """What SQL can say of predictions: keys, sum of the probabilities, prediction is a class of the highest one."""
+    chances = [F.col(f"p_{c}") for c in CLASSES]
+    own = F.element_at(F.create_map(*[x for c in CLASSES for x in (F.lit(c), F.col(f"p_{c}"))]), F.col("pred"))
+    total = F.round(chances[0] + chances[1] + chances[2], 6)
+    return preds.select(*keys, *ROW, "semilla", "etiqueta", total.alias("suma"), (own == F.greatest(*chances)).alias("es_maxima"))
+
+
+_SEED_SQL = f"unnest({list(MODEL_SEEDS)})"
+
+
 @check("M8_forest_fold_predictions")
 def m8(spark, d):
-    rows = stored(folds.forward_chaining(model_rows(spark, d), EXTERNAL, TARGETS, [A.EXCLUDED_YEAR]))
-    preds = models.fold_predictions(rows, MODEL_NAMES, EXTERNAL, seeds=SEEDS)
-    return preds.select("region", "anio", "semana", "semilla", "etiqueta", "pred", "p_bajo", "p_medio", "p_alto")
+    return forward_forests(spark, d).select(*ROW, "semilla", "etiqueta", "pred", "p_bajo", "p_medio", "p_alto")
+
+
+@check(
+    "M8_prediction_facts",
+    f"""SELECT region, anio, semana, {_SEED_SQL} AS semilla, etiqueta, 1::DOUBLE AS suma, TRUE AS es_maxima FROM modelables m
+    WHERE anio IN {EXTERNAL} AND (SELECT count(DISTINCT etiqueta) FROM modelables t WHERE t.anio < m.anio AND t.anio IN {TARGETS}) >= 2""",
+)
+def m8_facts(spark, d):
+    return prediction_facts(forward_forests(spark, d).filter("semilla IS NOT NULL"))
+
+
+@check(
+    "M8_key_out_prediction_facts",
+    f"""SELECT region AS clave_externa, region, anio, semana, s.semilla, etiqueta, CASE WHEN s.semilla IS NOT NULL THEN 1::DOUBLE END AS suma,
+        CASE WHEN s.semilla IS NOT NULL THEN TRUE END AS es_maxima
+    FROM (SELECT m.*, (SELECT count(DISTINCT etiqueta) FROM modelables t WHERE t.region <> m.region AND t.anio < m.anio AND t.anio IN {TARGETS}) AS clases
+          FROM modelables m WHERE anio IN {EXTERNAL}) m
+    JOIN (SELECT {_SEED_SQL} AS semilla UNION ALL SELECT NULL) s ON (s.semilla IS NULL) = (m.clases < 2)""",
+)
+def m8_key_out(spark, d):
+    """Forests of all (left-out region, year) folds and seeds; a fold of fewer than two classes gives rows without seed."""
+    return prediction_facts(key_out_forests(spark, d), "clave_externa")
 
 
 @check("M20_feature_importance")

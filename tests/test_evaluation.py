@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weekwatch.operators import features, folds, metrics, models, ranking
+from weekwatch.operators import features, folds, forests, metrics, models, ranking
 
 
 def labelled(spark, rows):
@@ -130,7 +130,7 @@ def test_forest_learns_weights_and_absent_class_gets_zero(spark):
     weights = {r.etiqueta: r.peso for r in folds.class_weights(assigned).collect()}
     n = sum(1 for r in rows if r[0] == 2020 and r[2] == "medio")
     assert abs(weights["medio"] - 150 / (2 * n)) < 1e-12
-    preds = models.fold_predictions(assigned, ["u", "v"], [2021], trees=10, depth=4).collect()
+    preds = forests.fold_predictions(assigned, ["u", "v"], ["anio_externo"], ["anio", "semana"], trees=10, depth=4).collect()
     assert sum(r.pred == r.etiqueta for r in preds) >= 45 and all(r.p_alto == 0.0 for r in preds)
 
 
@@ -165,8 +165,8 @@ def test_model_queries_are_registered_whole(spark, monkeypatch):
     rows = rows.withColumns({n: F.lit(v) for n, v in columns.items()})
     asked = []
 
-    def predictions(rows, names, folds, seeds=(42,), trees=300, depth=10):
-        asked.append((tuple(folds), tuple(seeds), trees, depth))
+    def predictions(rows, names, fold, row, seeds=(42,), trees=forests.TREES, depth=forests.DEPTH):
+        asked.append((sorted({tuple(r[c] for c in fold) for r in rows.collect()}), tuple(seeds), trees, depth))
         return rows.selectExpr("*", "0 AS semilla", "etiqueta AS pred", "1.0 AS p_bajo", "0.0 AS p_medio", "0.0 AS p_alto")
 
     def compare(train, test, names, trees=300, depth=10, seed=42, rounds=100, iterations=2000):
@@ -174,10 +174,12 @@ def test_model_queries_are_registered_whole(spark, monkeypatch):
         return test.selectExpr("*", "etiqueta AS pred", "'bosque' AS algoritmo")
 
     monkeypatch.setattr(ev, "model_rows", lambda spark, d: rows)
-    monkeypatch.setattr(models, "fold_predictions", predictions)
+    monkeypatch.setattr(forests, "fold_predictions", predictions)
     monkeypatch.setattr(models, "compare_algorithms", compare)
     ev.m8(spark, "")
-    assert asked == [((1999, 2000, 2001), (*range(10), 42), 300, 10)]
+    ev.m8_key_out(spark, "")
+    years, seeds = [1999, 2000, 2001], (*range(10), 42)
+    assert asked == [([(y,) for y in years], seeds, 300, 10), ([("a", y) for y in years], seeds, 300, 10)]
     asked.clear()
     assert {r.anio_externo for r in ev.m21(spark, "").collect()} == {1999, 2000, 2001}
     assert asked == [([1997], [1999], 300, 10, 100, 2000), ([1997, 1999], [2000], 300, 10, 100, 2000),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weekwatch.functions.text import number
 from weekwatch.operators import bulletins as B
+from weekwatch.operators import cumulative
 from weekwatch.session import stored
 
 # Marks, titles and end marks of the printed table.
@@ -198,6 +199,28 @@ def analyse(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, found
 
 
+def current(documents: DataFrame) -> DataFrame:
+    """Documents that no later version of their week replaces."""
+    return cumulative.resolve_versions(documents.withColumnRenamed("nota", "_nota")).filter("vigente").drop("vigente", "nota").withColumnRenamed(
+        "_nota", "nota")
+
+
+def review_reprints(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Documents in which every usable table that repeats the one before it in the year is up for manual review.
+
+    Counters of such a week would give a week without cases and then a double one. A repeated table is compared with its
+    predecessor even when that one repeats another.
+    """
+    again = cumulative.reprints(cuts(documents, found), bulletin=["archivo"]).select(
+        "archivo", F.format_string("la tabla repite la del corte SE%d (%s)", "previa", "previa_archivo").alias("_repite"))
+    marked = documents.join(again, "archivo", "left")
+    repeated = F.col("_repite").isNotNull()
+    return marked.withColumns({
+        "estado": F.when(repeated, "revision_manual").otherwise(F.col("estado")),
+        "nota": F.when(repeated, F.col("_repite")).otherwise(F.col("nota")),
+    }).select(*documents.columns)
+
+
 def cuts(documents: DataFrame, found: DataFrame) -> DataFrame:
     """Cumulative counters of usable bulletins."""
     usable = documents.filter(F.col("estado").isin(*USABLE) & F.col("semana_corte").isNotNull())

@@ -71,7 +71,7 @@ def deaccumulate(cuts: DataFrame, keys: Sequence[str], mark_first: bool = True)
     note = (
         F.when(F.col("tipo") == "primer_corte", F.format_string(NOTE_FIRST, "semana", "semana"))
         .when(F.col("tipo") == "hueco", F.format_string(NOTE_GAP, "previa", "semana"))
-        .when(F.col("tipo") == "correccion", F.format_string(NOTE_CORRECTION, diff))
+        .when(F.col("tipo") == "correccion", F.format_string(NOTE_CORRECTION, F.bround(diff, 0).cast("bigint")))
         .otherwise("")
     )
     weeks = F.when(gap, F.sequence(F.col("previa") + 1, F.col("semana"))).otherwise(F.array("semana"))
@@ -115,25 +115,30 @@ def monotonicity(cuts: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -
     )
 
 
-def reprints(cuts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Bulletins whose region values all equal those of the previous cut of the year.
+def reprints(cuts: DataFrame, keys: Sequence[str] = (), bulletin: Sequence[str] = ()) -> DataFrame:
+    """Bulletins whose region values all equal those of the previous cut of the year: (keys, anio, semana, previa).
 
-    Regions are compared by a join with the previous bulletin and counted, so no
-    bulletin is ever collected into one row.
+    A bulletin is a cut week, or a cut week and the columns ``bulletin`` where a week has several; those come in their
+    order and the result has them, as ``previa_<column>`` too. Tables are compared by a digest that does not depend on the
+    order of the rows; where it is equal, the rows are compared themselves, by a join. No bulletin is ever collected
+    into one row.
     """
-    bulletins = cuts.groupBy(*keys, "anio", "semana").agg(F.count(F.lit(1)).alias("n"))
-    year = Window.partitionBy(*keys, "anio").orderBy("semana")
-    pairs = bulletins.withColumns(
-        {"previa": F.lag("semana").over(year), "n_previa": F.lag("n").over(year)}
-    ).filter(F.col("previa").isNotNull() & (F.col("n") == F.col("n_previa")))
-    before = cuts.select(*keys, "anio", F.col("semana").alias("previa"), "region", F.col("acum").alias("antes"))
-    rows = cuts.select(*keys, "anio", "semana", "region", "acum").join(pairs, [*keys, "anio", "semana"])
-    same = rows.join(before, [*keys, "anio", "previa", "region"]).filter(F.col("acum") == F.col("antes"))
+    own = [*keys, "anio", "semana", *bulletin]
+    row = F.xxhash64("region", "acum")
+    tables = cuts.groupBy(*own).agg(
+        F.count(F.lit(1)).alias("n"), F.struct(F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(2**31)))).alias("_huella")
+    )
+    year = Window.partitionBy(*keys, "anio").orderBy("semana", *bulletin)
+    before = {f"previa{'_' + c if c != 'semana' else ''}": F.lag(c).over(year) for c in ("semana", *bulletin)}
+    alike = tables.withColumns({**before, "_antes": F.lag("_huella").over(year)}).filter("_huella = _antes").drop("_huella", "_antes")
+    rows = cuts.select(*own, "region", "acum").join(alike, own)
+    older = cuts.select(*keys, "anio", *[F.col(c).alias(b) for b, c in zip(before, ("semana", *bulletin))], "region", F.col("acum").alias("antes"))
+    same = rows.join(older, [*keys, "anio", *before, "region"]).filter(F.col("acum").eqNullSafe(F.col("antes")))
     return (
-        same.groupBy(*keys, "anio", "semana", "previa", "n")
+        same.groupBy(*own, *before, "n")
         .agg(F.count(F.lit(1)).alias("iguales"))
         .filter(F.col("iguales") == F.col("n"))
-        .select(*keys, "anio", "semana", "previa")
+        .select(*own, *before)
     )
 
 

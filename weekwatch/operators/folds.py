@@ -47,6 +47,19 @@ def key_out_fold(
     return train, rows.filter((F.col(key) == left_out) & (year == external))
 
 
+def key_out_forward(
+    rows: DataFrame, key: str, external: Sequence[int], targets: Sequence[int], excluded: Sequence[int] = (), out: str = "clave_externa"
+) -> DataFrame:
+    """Each row once per (left-out key, external year) fold it belongs to: test in the fold of its own key and year,
+    train in those of other keys and later years. The keys are the catalogue of the rows; they bound the copies."""
+    year, fold = F.col("anio"), F.col("anio_externo")
+    catalogue = rows.agg(F.array_sort(F.collect_set(key))).scalar()
+    spread = rows.withColumn("anio_externo", _years(external)).withColumn(
+        "rol", F.when(year == fold, TEST).when((year < fold) & _eligible(year, targets, excluded), TRAIN)).filter("rol IS NOT NULL")
+    own = F.array(F.col(key))
+    return spread.withColumn(out, F.explode(F.when(F.col("rol") == TEST, own).otherwise(F.array_except(catalogue, own))))
+
+
 def _counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(*[F.count_if(F.col("etiqueta") == c).alias(c) for c in CLASSES])
 

@@ -1,8 +1,7 @@
-"""Classifiers on Spark ML.
+"""Classifiers on Spark ML: single fits and the comparison of algorithms.
 
-Only the loop over folds and seeds runs on the driver; every fit and every
-transform is a Spark job. A forest cannot equal another library's forest bit
-for bit, because bins and samples differ.
+Every fit and every transform is a Spark job; the forests of whole experiments are in ``forests``. A forest cannot equal
+another library's forest bit for bit, because bins and samples differ.
 """
 
 from __future__ import annotations
@@ -76,30 +75,6 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     )
 
 
-def fold_predictions(
-    assigned: DataFrame,
-    names: Sequence[str],
-    folds: Sequence[int],
-    seeds: Sequence[int] = (42,),
-    trees: int = 300,
-    depth: int = 10,
-) -> DataFrame:
-    """Test predictions of every fold and seed as one table."""
-    parts = []
-    for fold in folds:
-        own = assigned.filter(F.col("anio_externo") == fold)
-        train = own.filter("rol = 'entrenamiento'").cache()
-        test = own.filter("rol = 'prueba'")
-        for seed in seeds:
-            model = fit_forest(train, names, trees, depth, seed)
-            parts.append(predict(model, test).withColumn("semilla", F.lit(seed)))
-        train.unpersist()
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
 def importances(model: PipelineModel, names: Sequence[str], top: int = 10) -> DataFrame:
     """Most important predictors of a fitted forest."""
     from pyspark.sql import SparkSession
