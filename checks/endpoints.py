@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import BASE_YEARS, check, classes, median, pct, view
 from checks.baselines import RANK
-from checks.weather import CORPUS, weekly_long
+from checks.weather import CORPUS, weekly_wide
 from weekwatch.operators import pressure
 from weekwatch.plans import adapters as A
 from weekwatch.plans import endpoints as E
@@ -100,7 +100,7 @@ view("presion_semana", f"SELECT region, codigo, nombre, semana, {YEAR} AS anio,
 
 
 def week_pressure(spark, d):
-    return E.pressure_of_week(A.facts(spark, d), A.regions(spark, d), A.BASE_YEARS, WEEK, YEAR)
+    return E.pressure_of_week(A.facts(spark, d, E.pressure_days(A.BASE_YEARS, YEAR, WEEK)), A.regions(spark, d), A.BASE_YEARS, WEEK, YEAR)
 
 
 @check("Q6_pressure_of_week", "SELECT * FROM presion_semana")
@@ -113,7 +113,7 @@ def q6(spark, d):
     f"SELECT region, codigo, nombre, semana, {YEAR} AS anio, {_WIDE} FROM celdas_region JOIN regiones USING (region) GROUP BY ALL",
 )
 def q7(spark, d):
-    return E.pressure_of_region(A.facts(spark, d), A.regions(spark, d), A.BASE_YEARS, YEAR)
+    return E.pressure_of_region(A.facts(spark, d, E.pressure_days(A.BASE_YEARS, YEAR)), A.regions(spark, d), A.BASE_YEARS, YEAR)
 
 
 view(
@@ -133,7 +133,7 @@ view(
 
 
 def week_suitability(spark, d):
-    return E.suitability_of_week(weekly_long(spark, d), A.regions(spark, d), CORPUS, WEEK, YEAR)
+    return E.suitability_of_week(weekly_wide(spark, d, E.suitability_days(CORPUS, WEEK)), A.regions(spark, d), CORPUS, WEEK, YEAR)
 
 
 @check("Q4_suitability_of_week", "SELECT * FROM idoneidad_semana")
@@ -147,7 +147,7 @@ def q4(spark, d):
         round({pct('pool', 0.75)}, 4) AS p75_baseline, round(z, 4) AS anomaly_sigma FROM banda JOIN regiones USING (region)""",
 )
 def q5(spark, d):
-    return E.suitability_of_region(weekly_long(spark, d), A.regions(spark, d), CORPUS, YEAR)
+    return E.suitability_of_region(weekly_wide(spark, d, E.suitability_days(CORPUS)), A.regions(spark, d), CORPUS, YEAR)
 
 
 @check(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from checks.base import check, history, view
 from checks.baselines import EARLIER, KEYS, label_sql, regional
 from checks.relational import lab_series
-from checks.weather import n_regions, weekly_long, with_index  # noqa: F401
+from checks.weather import weekly_wide, with_index
 from weekwatch.functions.classify import CLASSES
 from weekwatch.operators import channel, features, folds, forests, metrics, models, weekly
 from weekwatch.plans import adapters as A
@@ -482,7 +482,7 @@ MODEL_SEEDS = (*range(10), 42)
 def model_rows(spark, d):
     """Labelled region weeks with regional lags, complete rows only."""
     labels = channel.prospective_labels(lab_series(spark, d), ["region"], [A.EXCLUDED_YEAR], min_obs=6, min_years=2).drop("claves")
-    wide = weekly.pivot_variables(weekly_long(spark, d), ["region"], MODEL_VARS, complete=False)
+    wide = weekly.known(weekly_wide(spark, d), MODEL_VARS, complete=False)
     lags = features.lagged(with_index(wide), ["region"], MODEL_VARS)
     rows = features.training_set(labels, lags, MODEL_NAMES, [A.EXCLUDED_YEAR], ["region"])
     usable = rows.filter(F.col("motivo").isNull()).select("region", "anio", "semana", "etiqueta", *MODEL_NAMES)

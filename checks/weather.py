@@ -51,13 +51,16 @@ view(
 )
 
 
-def guarded(spark, d):
-    return weekly.guard_false_zero(A.daily_payload(spark, d))
+def guarded(spark, d, ranges=None):
+    return weekly.guard_false_zero(A.daily_payload(spark, d, ranges))
+
+
+def weekly_wide(spark, d, ranges=None):
+    return weekly.weekly_wide(guarded(spark, d, ranges), ["region"], VARS, A.ACCUMULATIVE)
 
 
 def weekly_long(spark, d):
-    points = weekly.to_long(guarded(spark, d), ["region", "fecha"], VARS)
-    return weekly.weekly_long(points, ["region"], A.ACCUMULATIVE)
+    return weekly.weekly_long(guarded(spark, d), ["region"], VARS, A.ACCUMULATIVE)
 
 
 def complete(spark, d):
@@ -69,8 +72,7 @@ def with_index(df):
 
 
 def national_wide(spark, d):
-    means = weekly.national_mean(weekly_long(spark, d))
-    return with_index(weekly.pivot_variables(means, [], VARS, complete=False))
+    return with_index(weekly.national_wide(weekly_wide(spark, d), VARS).drop(*[f"n_{v}" for v in VARS]))
 
 
 @check(
@@ -106,7 +108,8 @@ def a3(spark, d):
 
     index = C.monthly_to_weekly(A.monthly_index(spark, d), A.calendar(spark, d)).dropna(subset=["anom"])
     level0 = index.select("anio", "semana", F.lit("oni_anom").alias("variable"), F.col("anom").alias("valor"))
-    return weekly.national_mean(weekly_long(spark, d), level0)
+    own = level0.select("anio", "semana", "variable", F.col("valor").cast("double").alias("valor"), F.lit(None).cast("bigint").alias("n_regiones"))
+    return weekly.national_rows(weekly.national_wide(weekly_wide(spark, d), VARS), VARS).unionByName(own)
 
 
 def n_regions(spark, d):
@@ -135,11 +138,11 @@ view("tres", f"SELECT region, anio, semana, {_WIDE3} FROM semanal GROUP BY ALL")
     "SELECT * FROM tres WHERE temp_media IS NOT NULL AND precipitation_sum IS NOT NULL AND humedad_relativa_media IS NOT NULL",
 )
 def f6(spark, d):
-    return weekly.pivot_variables(weekly_long(spark, d), ["region"], anomaly.REQUIRED)
+    return weekly.known(weekly_wide(spark, d), anomaly.REQUIRED)
 
 
 def three(spark, d):
-    return weekly.pivot_variables(weekly_long(spark, d), ["region"], anomaly.REQUIRED, complete=False)
+    return weekly.known(weekly_wide(spark, d), anomaly.REQUIRED, complete=False)
 
 
 view(
@@ -147,7 +150,9 @@ view(
     """SELECT t.*, t.precipitation_sum + coalesce(p.precipitation_sum, 0) AS lluvia_2s FROM tres t
     LEFT JOIN tres p ON p.region = t.region AND p.anio = t.anio AND p.semana = t.semana - 1""",
 )
-_C = repr(S.THERMAL_SCALE)
+# the scale makes the greatest product on a fine grid of temperatures 1; worked out by SQL, not taken from the library
+_PRODUCT = "(t / 1000.0::DOUBLE) * (t / 1000.0::DOUBLE - 16) * sqrt(38 - t / 1000.0::DOUBLE)"
+_C = f"(SELECT 1 / max({_PRODUCT}) FROM (SELECT unnest(generate_series(16000, 38000)) AS t))"
 view(
     "formulas",
     f"""SELECT *, CASE WHEN temp_media <= 16 OR temp_media >= 38 THEN 0::DOUBLE WHEN temp_media IS NOT NULL THEN

@@ -29,7 +29,7 @@ def test_week_with_four_rain_days_is_dropped_whole(spark):
 
 def test_weekly_long_uses_mean_or_sum(spark):
     df = days(spark, [(20, 1.5, 2.0), (21, 2.5, 3.0), (21, None, None)])
-    got = {r.variable: float(r.valor) for r in weekly.weekly_long(weekly.to_long(df, ["region", "fecha"], VARS), ["region"], SUMS).collect()}
+    got = {r.variable: float(r.valor) for r in weekly.weekly_long(df, ["region"], VARS, SUMS).collect()}
     assert got == {"temp_media": 20.667, "precipitation_sum": 4.0, "precipitation_hours": 5.0}
 
 

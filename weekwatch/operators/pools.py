@@ -70,13 +70,14 @@ def observed_cells(series: DataFrame, keys: Sequence[str], rule: Rule, window: i
 def described_year(series: DataFrame, keys: Sequence[str], rule: Rule, year: int, window: int = 1) -> DataFrame:
     """One row per key and week that any observation neighbours, described for ``year``.
 
-    ``valor`` is null where the year itself has no observation.
+    ``valor`` is null where the year itself has no observation; ``vista`` tells that some year has one in that week.
     """
     around = neighbourhoods(series, keys, window)
     target = F.lit(year)
     own = F.filter("vecinas", lambda v: (v["origen"] == F.col("semana")) & (v["anio"] == year))
     cells = around.select(
-        *keys, target.alias("anio"), "semana", F.get(own, F.lit(0))["valor"].alias("valor"), "vecinas"
+        *keys, target.alias("anio"), "semana", F.get(own, F.lit(0))["valor"].alias("valor"),
+        F.exists("vecinas", lambda v: v["origen"] == F.col("semana")).alias("vista"), "vecinas"
     )
     return with_pool(cells, target, rule)
 

@@ -65,7 +65,8 @@ def observed(series: DataFrame, keys: Sequence[str], base_years: Sequence[int],
 
 
 def of_year(series: DataFrame, keys: Sequence[str], base_years: Sequence[int], year: int, min_years: int = 3) -> DataFrame:
-    """Pressure in ``year`` of every key and week that has neighbours in any year."""
+    """Pressure in ``year`` of every key and week that has neighbours in any year; ``vista`` tells that the week itself
+    was seen in some year."""
     relevant = series.filter(F.col("anio").isin(*base_years, year))
     cells = pools.described_year(relevant, keys, pools.others_in(base_years), year)
-    return describe(cells, keys, min_years)
+    return describe(cells, [*keys, "vista"], min_years)

@@ -9,6 +9,9 @@ task as raw rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,8 +34,13 @@ VARIABLES = (
 ACCUMULATIVE = ("precipitation_sum", "precipitation_hours")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+Ranges = Sequence[tuple[date, date]]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, day: str | None = None, ranges: Ranges | None = None) -> DataFrame:
+    """A driver table; with ``ranges`` only the rows whose ``day`` lies in them, cut at the scan."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows if ranges is None else rows.filter(cal.in_ranges(F.col(day), ranges))
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,14 +118,14 @@ def obs_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_wide(spark: SparkSession, sf_dir: str, ranges: Ranges | None = None) -> DataFrame:
     """Daily weather per region, one column per variable, in thousandths (bigint).
 
     Rain is null on one day in eleven while its hours still carry a value, which
     is the false-zero case of the weather source.
     """
     per_supplier = (
-        table(spark, sf_dir, "lineitem")
+        table(spark, sf_dir, "lineitem", "l_shipdate", ranges)
         .groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("fecha"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -167,9 +175,9 @@ def milli(value: Column) -> Column:
     return (value.cast("decimal(13,0)") / 1000).cast("decimal(10,3)")
 
 
-def daily_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_payload(spark: SparkSession, sf_dir: str, ranges: Ranges | None = None) -> DataFrame:
     """Daily weather wide with stored types."""
-    wide = daily_wide(spark, sf_dir)
+    wide = daily_wide(spark, sf_dir, ranges)
     return wide.select("region", "fecha", *[milli(F.col(v)).alias(v) for v in VARIABLES])
 
 
@@ -239,9 +247,9 @@ def file_name(year: Column, week: Column, version: Column) -> Column:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, ranges: Ranges | None = None) -> DataFrame:
     """Case fact with event and source: the natural key of the case table."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders", "o_orderdate", ranges).select(
         "o_custkey",
         status_class(F.col("o_orderstatus")).alias("clasificacion"),
         F.col("o_orderpriority").alias("fuente"),

@@ -1,8 +1,11 @@
 """The user-level queries: parameters in, one logical plan out, nothing collected.
 
 ``fact`` is the case fact (region, clasificacion, anio, semana, conteo, ...),
-``weekly`` the long weather fact (region, anio, semana, variable, valor) and
+``weekly`` the weekly weather, wide (region, anio, semana and one column per variable) or long (variable, valor), and
 ``regions`` the region catalogue (region, codigo, nombre, nivel_admin, ...).
+
+A query of some weeks of some years says which days it reads (``*_days``); a fact that stores the first day of its weeks
+in ``fecha`` is cut by them here, a source of days by its reader.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekwatch.functions import calendar as cal
 from weekwatch.operators import anomaly, pressure, summary
-from weekwatch.operators.weekly import pivot_variables
+from weekwatch.operators.weekly import known, pivot_variables
 
 # Series of the pressure view and note of a week without weather.
 SERIES = ("probable", "confirmado")
@@ -63,39 +67,52 @@ def notified_series(regions: DataFrame, fact: DataFrame, codigo: str | None = No
     )
 
 
+def _within(rows: DataFrame, ranges) -> DataFrame:
+    return rows.filter(cal.in_ranges(F.col("fecha"), ranges)) if "fecha" in rows.columns else rows
+
+
 def _case_series(fact: DataFrame, years: Sequence[int], weeks: Sequence[int] | None) -> DataFrame:
     keep = F.col("clasificacion").isin(*SERIES) & F.col("anio").isin(*years)
     if weeks is not None:
         keep = keep & F.col("semana").isin(*weeks)
-    rows = fact.filter(keep).groupBy("region", "clasificacion", "anio", "semana")
+    rows = _within(fact, cal.week_ranges(years, weeks)).filter(keep).groupBy("region", "clasificacion", "anio", "semana")
     return rows.agg(F.sum("conteo").cast("double").alias("valor"))
 
 
-def _side_by_side(grid: DataFrame, cells: DataFrame, year: int) -> DataFrame:
-    """Both series of a (region, semana) grid in one row; a missing cell is an empty baseline."""
-    wide = grid
-    for name in SERIES:
-        one = cells.filter(F.col("clasificacion") == name).select(
-            "region", "semana", *[F.col(f).alias(f"{name}_{f}") for f in pressure.FIELDS], F.lit(True).alias("_hay")
-        )
-        absent = F.col("_hay").isNull()
-        wide = wide.join(one, ["region", "semana"], "left").withColumns(
-            {
-                f"{name}_n_obs_baseline": F.coalesce(f"{name}_n_obs_baseline", F.lit(0)),
-                f"{name}_anios_baseline": F.coalesce(f"{name}_anios_baseline", F.lit(0)),
-                f"{name}_nota": F.when(absent, pressure.NOTE_INSUFFICIENT).otherwise(F.col(f"{name}_nota")),
-            }
-        ).drop("_hay")
-    return wide.withColumn("anio", F.lit(year))
+def _side_by_side(cells: DataFrame) -> DataFrame:
+    """Both series of a (region, semana) in one row; ``vista`` tells that some year has either in that week."""
+    fields = F.struct(*pressure.FIELDS)
+    return cells.groupBy("region", "semana").agg(
+        *[F.max(F.when(F.col("clasificacion") == name, fields)).alias(name) for name in SERIES], F.bool_or("vista").alias("vista"))
+
+
+def _columns(wide: DataFrame, year: int) -> DataFrame:
+    """Fields of both series as columns; a series without cell is an empty baseline."""
+    empty = {"n_obs_baseline": F.lit(0).cast("bigint"), "anios_baseline": F.lit(0).cast("bigint"), "nota": F.lit(pressure.NOTE_INSUFFICIENT)}
+
+    def field(name: str, f: str):
+        own = F.col(f"{name}.{f}")
+        return (F.when(F.col(name).isNull(), empty[f]).otherwise(own) if f in empty else own).alias(f"{name}_{f}")
+
+    return wide.select(
+        "region", "codigo", "nombre", "semana", *[field(name, f) for name in SERIES for f in pressure.FIELDS], F.lit(year).alias("anio"))
+
+
+def _neighbours(week: int) -> list[int]:
+    return [w for w in (week - 1, week, week + 1) if w >= 1]
+
+
+def pressure_days(base_years: Sequence[int], year: int, week: int | None = None):
+    """Days that the pressure of a year, or of one of its weeks, depends on."""
+    return cal.week_ranges({*base_years, year}, None if week is None else _neighbours(week))
 
 
 def pressure_of_week(fact: DataFrame, regions: DataFrame, base_years: Sequence[int], week: int, year: int) -> DataFrame:
-    """Relative pressure of all regions in one week; only neighbour weeks and needed years are read."""
-    weeks = [w for w in (week - 1, week, week + 1) if w >= 1]
-    series = _case_series(fact, sorted({*base_years, year}), weeks)
+    """Relative pressure of all regions in one week; only neighbour weeks and needed years are read, once."""
+    series = _case_series(fact, sorted({*base_years, year}), _neighbours(week))
     cells = pressure.of_year(series, ["region", "clasificacion"], base_years, year)
-    grid = _departments(regions).withColumn("semana", F.lit(week))
-    return _side_by_side(grid, cells.filter(F.col("semana") == week), year)
+    wide = _side_by_side(cells.filter(F.col("semana") == week)).drop("semana")
+    return _columns(_departments(regions).withColumn("semana", F.lit(week)).join(wide, "region", "left"), year)
 
 
 def pressure_of_region(
@@ -107,19 +124,29 @@ def pressure_of_region(
     if codigo is not None:
         series = series.join(own.select("region"), "region", "left_semi")
     cells = pressure.of_year(series, ["region", "clasificacion"], base_years, year)
-    grid = own.join(series.select("region", "semana").distinct(), "region")
-    return _side_by_side(grid, cells, year)
+    return _columns(own.join(_side_by_side(cells).filter("vista"), "region"), year)
 
 
 def _suitability(weekly: DataFrame) -> DataFrame:
-    wide = pivot_variables(weekly, ["region"], anomaly.REQUIRED, complete=False)
+    if "variable" in weekly.columns:
+        wide = pivot_variables(weekly, ["region"], anomaly.REQUIRED, complete=False)
+    else:
+        wide = known(weekly, anomaly.REQUIRED, complete=False)
     return anomaly.suitability_series(wide, ["region"])
 
 
+def _with_previous(week: int) -> list[int]:
+    return [week] if week == 1 else [week - 1, week]
+
+
+def suitability_days(corpus: Sequence[int], week: int | None = None):
+    """Days that the suitability of the corpus, or of one week in it, depends on."""
+    return cal.week_ranges(corpus, None if week is None else _with_previous(week))
+
+
 def suitability_of_week(weekly: DataFrame, regions: DataFrame, corpus: Sequence[int], week: int, year: int) -> DataFrame:
     """Suitability and its anomaly of all regions in one week; a region without weather keeps a note."""
-    weeks = [week] if week == 1 else [week - 1, week]
-    rows = weekly.filter(F.col("anio").isin(*corpus) & F.col("semana").isin(*weeks))
+    rows = weekly.filter(F.col("anio").isin(*corpus) & F.col("semana").isin(*_with_previous(week)))
     cells = anomaly.anomaly_of_year(_suitability(rows), ["region"], "iv", corpus, year)
     own = cells.filter((F.col("semana") == week) & F.col("valor").isNotNull()).select("region", "valor", "z")
     return _departments(regions).join(own, "region", "left").select(
