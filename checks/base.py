@@ -17,6 +17,8 @@ VIEWS: dict[str, str] = {}
 
 
 def view(name: str, body: str) -> None:
+    if name in VIEWS:
+        raise ValueError(f"view {name} defined twice")
     VIEWS[name] = body
 
 
@@ -39,6 +41,11 @@ def with_views(body: str) -> str:
     )
 
 
+def observed(spark: SparkSession, seen) -> DataFrame:
+    """What an observation received, as one row."""
+    return spark.createDataFrame([tuple(seen.get.values())], ", ".join(f"{name} long" for name in seen.get))
+
+
 def check(name: str, sql: str | None = None):
     """Register a query, with its oracle when one can be written."""
 

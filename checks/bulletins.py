@@ -181,6 +181,15 @@ def a10(spark, d):
     return B.state_counts(lab(spark, d)[0])
 
 
+@check(
+    "K7_state_counts",
+    """SELECT anio, '{' || string_agg('"' || estado || '":' || n, ',' ORDER BY estado) || '}' AS estados
+    FROM (SELECT anio, estado, count(*) AS n FROM lab_docs GROUP BY ALL) GROUP BY anio""",
+)
+def k7_states(spark, d):
+    return cumulative.nested_states(lab(spark, d)[0])
+
+
 def reviews(documents):
     """Manual decisions on the bulletins of one year that did not balance."""
     chosen = documents.filter((F.col("anio") == 1999) & (F.col("estado") == "revision_manual"))

@@ -200,6 +200,15 @@ def p7(spark, d):
     return channel.same_week_channel(points(spark, d), KEYS, A.BASE_YEARS)
 
 
+@check(
+    "P7_zero_upper_quartiles",
+    f"""SELECT clase, count(*) AS celdas, count(*) FILTER ({pct('pool', 0.75)} = 0) AS q3_cero, count(*) FILTER ({pct('pool', 0.75)} = 0) / count(*) AS fraccion_q3_cero,
+        count(*) FILTER (NOT (n_obs >= 12 AND anios_presentes >= 3)) AS bajo_piso FROM canal_semana GROUP BY clase""",
+)
+def p7_zero(spark, d):
+    return channel.same_week_summary(channel.same_week_channel(points(spark, d), KEYS, A.BASE_YEARS), ["clase"])
+
+
 @check(
     "A12_loss_audit",
     f"""WITH j AS (SELECT p.*, c.n_obs, {pct('c.pool', 0.75)} AS p75 FROM puntos p LEFT JOIN canal_semana c

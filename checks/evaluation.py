@@ -117,6 +117,20 @@ def m6(spark, d):
     return folds.fold_signatures(folds.with_state(country_folds(spark, d)), "region")
 
 
+@check(
+    "M6_signature_difference",
+    """SELECT region, anio_externo, 'n_prueba' AS campo, CAST(n_prueba + 1 AS VARCHAR) AS esperado, CAST(n_prueba AS VARCHAR) AS observado
+    FROM pliegues_estado WHERE region = 3 AND anio_externo = 2000
+    UNION ALL SELECT region, anio_externo, 'fold', 'ausente', 'presente' FROM pliegues_estado WHERE region = 5 AND anio_externo = 1999""",
+)
+def m6_difference(spark, d):
+    """Against a frozen table in which one fold has another size and one is missing."""
+    own = stored(folds.with_state(country_folds(spark, d)))
+    changed = F.col("n_prueba") + F.when((F.col("region") == 3) & (F.col("anio_externo") == 2000), 1).otherwise(0)
+    frozen = own.withColumn("n_prueba", changed).filter("NOT (region = 5 AND anio_externo = 1999)")
+    return folds.signature_difference(own, frozen, "region")
+
+
 @check(
     "M7_balanced_weights",
     """SELECT clase, anio_externo, etiqueta, n, (sum(n) OVER w) / (count(*) OVER w * n) AS peso
@@ -489,9 +503,9 @@ def model_rows(spark, d):
     return stored(usable)
 
 
-view("serie_lab", "SELECT region, anio, semana, sum(conteo)::DOUBLE AS valor FROM obs WHERE clase IN ('probable', 'confirmado') GROUP BY ALL")
-view("hist_lab", history("serie_lab", "region", 1, EARLIER))
-view("etiquetas_lab", label_sql("hist_lab", 6, 2))
+view("serie_modelos", "SELECT region, anio, semana, sum(conteo)::DOUBLE AS valor FROM obs WHERE clase IN ('probable', 'confirmado') GROUP BY ALL")
+view("hist_modelos", history("serie_modelos", "region", 1, EARLIER))
+view("etiquetas_modelos", label_sql("hist_modelos", 6, 2))
 view("tres_i", "SELECT t.*, CAST(date_diff('day', DATE '1970-01-04', fecha_inicio) // 7 AS INTEGER) AS indice FROM tres t JOIN cal USING (anio, semana)")
 _BEFORE = " ".join(
     f"JOIN tres_i l{k} ON l{k}.region = t.region AND l{k}.indice = t.indice - {k} AND " + " AND ".join(f"l{k}.{v} IS NOT NULL" for v in MODEL_VARS)
@@ -499,7 +513,7 @@ _BEFORE = " ".join(
 )
 view(
     "modelables",
-    f"""SELECT e.region, e.anio, e.semana, e.etiqueta FROM etiquetas_lab e JOIN tres_i t ON t.region = e.region AND t.anio = e.anio AND t.semana = e.semana
+    f"""SELECT e.region, e.anio, e.semana, e.etiqueta FROM etiquetas_modelos e JOIN tres_i t ON t.region = e.region AND t.anio = e.anio AND t.semana = e.semana
     {_BEFORE} WHERE e.anio <> 1998 AND e.etiqueta IS NOT NULL""",
 )
 

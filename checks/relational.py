@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from checks.base import BASE_YEARS, check, mmwr, view, week_start
+from checks.base import BASE_YEARS, check, mmwr, observed, view, week_start
 from weekwatch.functions import calendar as cal
 from weekwatch.functions.text import place_key
 from weekwatch.operators import calendar as C
 from weekwatch.operators import integrity, joins, summary, upsert
 from weekwatch.plans import adapters as A
+from weekwatch.session import stored
 
 ORDER_WEEK = week_start("o_orderdate")
 Y, W = mmwr("fecha")
@@ -95,17 +97,16 @@ def c5(spark, d):
     return A.calendar(spark, d).select("anio", "semana", index.alias("indice"), index.cast("bigint").alias("posicion"))
 
 
-view("semanas_region", "SELECT DISTINCT region, anio, fecha FROM obs WHERE clase = 'probable'")
+view("semanas_region", "SELECT DISTINCT region, clase, anio, fecha FROM obs")
 view(
     "ordinales",
-    """SELECT region, anio, fecha, CAST(row_number() OVER (PARTITION BY region, anio ORDER BY fecha) AS INTEGER) AS semana,
-        CAST(count(*) OVER (PARTITION BY region, anio) AS INTEGER) AS n_semanas FROM semanas_region""",
+    """SELECT region, clase, anio, fecha, CAST(row_number() OVER (PARTITION BY region, clase, anio ORDER BY fecha) AS INTEGER) AS semana,
+        CAST(count(*) OVER (PARTITION BY region, clase, anio) AS INTEGER) AS n_semanas FROM semanas_region""",
 )
 
 
 def ordinal(spark, d):
-    rows = A.obs(spark, d).filter(F.col("clase") == "probable").select("region", "anio", "fecha")
-    return C.ordinal_weeks(rows, ["region"])
+    return C.ordinal_weeks(A.obs(spark, d).select("region", "clase", "anio", "fecha"), ["region", "clase"])
 
 
 @check("C6_ordinal_weeks", "SELECT * FROM ordinales")
@@ -113,6 +114,31 @@ def c6(spark, d):
     return ordinal(spark, d)
 
 
+@check(
+    "C4_load_counters",
+    """SELECT count(*) AS leidas, count(*) FILTER (c.anio IS NULL) AS sin_semana, count(*) FILTER (c.anio NOT BETWEEN 1996 AND 2000) AS fuera_de_rango,
+        count(*) FILTER (c.anio BETWEEN 1996 AND 2000) AS cargadas
+    FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dia FROM orders) o LEFT JOIN cal c ON o.dia = c.fecha_inicio""",
+)
+def c4_counters(spark, d):
+    """Counted by the job that writes the rows."""
+    days = A.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("fecha_inicio")).distinct()
+    seen = Observation("semanas")
+    stored(C.weeks_in_years(days, A.calendar(spark, d), 1996, 2000, seen))
+    return observed(spark, seen)
+
+
+@check(
+    "C7_missing_months",
+    """SELECT count(*) AS semanas, count(*) FILTER (i.anom IS NULL) AS sin_dato FROM cal c LEFT JOIN idx i
+    ON i.anio = year(c.fecha_inicio) AND i.mes = month(c.fecha_inicio)""",
+)
+def c7_missing(spark, d):
+    seen = Observation("meses")
+    stored(C.monthly_to_weekly(A.monthly_index(spark, d), A.calendar(spark, d), seen=seen))
+    return observed(spark, seen)
+
+
 @check(
     "C7_monthly_index_to_weeks",
     """SELECT c.*, i.anom FROM cal c LEFT JOIN idx i
@@ -124,17 +150,17 @@ def c7(spark, d):
 
 @check(
     "C8_step_back_weeks",
-    """WITH largo AS (SELECT DISTINCT region, anio, n_semanas FROM ordinales)
-    SELECT o.region, o.anio, o.semana, o.fecha, o.n_semanas,
+    """WITH largo AS (SELECT DISTINCT region, clase, anio, n_semanas FROM ordinales)
+    SELECT o.region, o.clase, o.anio, o.semana, o.fecha, o.n_semanas,
         CASE WHEN o.semana > 3 THEN o.anio WHEN p.n_semanas + o.semana > 3 THEN o.anio - 1
              WHEN q.n_semanas + p.n_semanas + o.semana > 3 THEN o.anio - 2 END AS anio_previo,
         CASE WHEN o.semana > 3 THEN o.semana - 3 WHEN p.n_semanas + o.semana > 3 THEN p.n_semanas + o.semana - 3
              WHEN q.n_semanas + p.n_semanas + o.semana > 3 THEN q.n_semanas + p.n_semanas + o.semana - 3 END AS semana_previa
-    FROM ordinales o LEFT JOIN largo p ON p.region = o.region AND p.anio = o.anio - 1
-    LEFT JOIN largo q ON q.region = o.region AND q.anio = o.anio - 2""",
+    FROM ordinales o LEFT JOIN largo p ON p.region = o.region AND p.clase = o.clase AND p.anio = o.anio - 1
+    LEFT JOIN largo q ON q.region = o.region AND q.clase = o.clase AND q.anio = o.anio - 2""",
 )
 def c8(spark, d):
-    return C.step_back(ordinal(spark, d), ["region"], 3)
+    return C.step_back(ordinal(spark, d), ["region", "clase"], 3)
 
 
 @check(
@@ -353,12 +379,11 @@ def w17(spark, d):
 
 @check(
     "A19_complete_entities",
-    f"""SELECT region, count(*) AS anios_completos FROM (SELECT region, anio FROM semanas_region WHERE anio IN {BASE_YEARS}
-        GROUP BY ALL HAVING count(*) >= 15) GROUP BY region HAVING count(*) = 5""",
+    f"""SELECT region, clase, count(*) AS anios_completos FROM (SELECT region, clase, anio FROM semanas_region WHERE anio IN {BASE_YEARS}
+        GROUP BY ALL HAVING count(*) >= 15) GROUP BY region, clase HAVING count(*) = 5""",
 )
 def a19(spark, d):
-    weeks = A.obs(spark, d).filter(F.col("clase") == "probable")
-    return summary.coverage(weeks, "region", A.BASE_YEARS, 15)
+    return summary.coverage(A.obs(spark, d), ["region", "clase"], A.BASE_YEARS, 15)
 
 
 # --- sets, sorts ----------------------------------------------------------

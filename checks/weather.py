@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from checks.base import BASE_YEARS, LOO, check, history, median, pct, view
+from checks.base import BASE_YEARS, LOO, check, history, median, observed, pct, view
 from checks.baselines import base, national
 from checks.relational import lab_series
 from weekwatch.functions import calendar as cal
 from weekwatch.functions import suitability as S
 from weekwatch.operators import anomaly, channel, features, pools, ranking, season, summary, weekly
 from weekwatch.plans import adapters as A
+from weekwatch.plans import lead_time
+from weekwatch.session import stored
 
 VARS = A.VARIABLES
 VAR_LIST = ", ".join(VARS)
@@ -458,6 +461,19 @@ def q10(spark, d):
     return training_rows(spark, d).filter(F.col("motivo").isNull()).drop("motivo")
 
 
+@check(
+    "F8_discards_observed",
+    """SELECT count(*) AS candidatas, count(*) FILTER (motivo IS NULL) AS filas_finales, count(*) FILTER (motivo = 'anio_excluido') AS anio_excluido,
+        count(*) FILTER (motivo = 'sin_suficiencia_etiqueta') AS sin_suficiencia_etiqueta,
+        count(*) FILTER (motivo = 'sin_historia_climatica') AS sin_historia_climatica FROM dataset""",
+)
+def f8_observed(spark, d):
+    """Counted by the job that writes the usable rows."""
+    seen = Observation("descartes")
+    stored(features.usable_rows(training_rows(spark, d), ["anio_excluido", "sin_suficiencia_etiqueta", "sin_historia_climatica"], seen))
+    return observed(spark, seen)
+
+
 @check(
     "F8_labelled_discards",
     "SELECT coalesce(motivo, 'filas_finales') AS motivo, count(*) AS filas FROM dataset GROUP BY 1",
@@ -559,6 +575,31 @@ def w16(spark, d):
     return leads(spark, d)
 
 
+view("iv_nacional", "SELECT anio, semana, avg(iv) AS valor FROM idoneidad GROUP BY ALL HAVING count(DISTINCT region) = (SELECT count(*) FROM nation)")
+view("hist_iv_nacional", history("iv_nacional", "", 0, "h.anio <> t.anio"))
+view(
+    "anomalia_nacional",
+    f"""SELECT anio, semana, CASE WHEN n_obs >= 3 AND desviacion >= 1e-9 THEN (valor - {median('pool')}) / desviacion END AS z
+    FROM (SELECT *, CASE WHEN n_obs >= 3 THEN sqrt(list_sum([(x - media) * (x - media) for x in pool]) / (n_obs - 1)) END AS desviacion
+          FROM (SELECT *, list_sum(pool) / n_obs AS media FROM hist_iv_nacional))""",
+)
+view(
+    "alertas_nacionales",
+    """SELECT anio, min(semana) FILTER (z >= 0.8 AND z2 >= 0.8) AS semana_alerta
+    FROM (SELECT *, lead(z) OVER (PARTITION BY anio ORDER BY semana) AS z2 FROM anomalia_nacional) GROUP BY anio""",
+)
+
+
+@check(
+    "W16_national_lead_time",
+    f"""SELECT anio, semana_inicio, semana_alerta, semana_inicio - semana_alerta AS adelanto,
+        CASE WHEN semana_inicio IS NULL THEN '{season.NOTE_NO_START}' WHEN semana_alerta IS NULL THEN '{season.NOTE_NO_ALERT}' END AS nota
+    FROM (SELECT anio, min(semana) FILTER (valor > p75) AS semana_inicio FROM canal WHERE suficiente GROUP BY anio) LEFT JOIN alertas_nacionales USING (anio)""",
+)
+def w16_national(spark, d):
+    return lead_time.national(iv_series(spark, d), n_regions(spark, d), national(spark, d), CORPUS, A.BASE_YEARS, threshold=0.8)
+
+
 @check(
     "W16_lead_time_summary",
     f"""SELECT region, count(*) AS medibles, {median('list(adelanto::DOUBLE ORDER BY adelanto)')} AS mediana,

@@ -19,7 +19,7 @@ def test_running_totals_equal_a_sorted_scan_with_one_dominant_value(spark):
     values = [0.5] * 700 + [rng.random() for _ in range(1300)]
     df = spark.createDataFrame([(v, 1) for v in values], "v double, n int")
     for descending in (False, True):
-        got = {r.v: (r.n, r.n_antes, r.n_grupo) for r in ranking.running_totals(df, "v", ["n"], ranges=7, descending=descending).collect()}
+        got = {r.v: (r.n, r.n_antes, r.n_grupo) for r in ranking.running_totals(df, "v", ["n"], range_values=90, descending=descending).collect()}
         seen = 0
         for v in sorted(set(values), reverse=descending):
             assert got[v] == (values.count(v), seen, len(values))

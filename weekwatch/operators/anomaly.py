@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from weekwatch.functions import suitability
 from weekwatch.functions.percentiles import linear_percentile, midpoint_median, sample_deviation
-from weekwatch.operators import pools
+from weekwatch.operators import contracts, pools
 
 REQUIRED = ("temp_media", "precipitation_sum", "humedad_relativa_media")
 
@@ -79,10 +79,13 @@ def degeneracy(values: DataFrame, column: str) -> DataFrame:
     )
 
 
-def require_variation(stats: DataFrame) -> None:
-    """Raise when the summary of ``degeneracy`` shows no usable variation."""
-    row = stats.select("desviacion", "fraccion_cero", "fraccion_uno").first()
-    if row["desviacion"] is None or row["desviacion"] < 1e-6:
-        raise ValueError("index is constant over the corpus")
-    if row["fraccion_cero"] > 0.95 or row["fraccion_uno"] > 0.95:
-        raise ValueError("index is saturated over the corpus")
+def require_variation(values: DataFrame, column: str) -> DataFrame:
+    """The same rows; the job aborts when ``degeneracy`` shows that the index does not vary, or nearly never does."""
+    stats = degeneracy(values, column)
+    broken = (
+        F.when(F.coalesce(F.col("desviacion"), F.lit(0.0)) < 1e-6, "index is constant over the corpus")
+        .when((F.col("fraccion_cero") > 0.95) | (F.col("fraccion_uno") > 0.95), "index is saturated over the corpus")
+    )
+    verdict = stats.select(broken.alias("falla")).scalar()
+    checked = contracts.require(values.withColumn("_falla", verdict), F.col("_falla").isNull(), F.col("_falla"))
+    return checked.drop("_falla")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,15 +67,38 @@ def ordinal_weeks(rows: DataFrame, keys: Sequence[str], day: str = "fecha") -> D
     )
 
 
-def monthly_to_weekly(monthly: DataFrame, calendar: DataFrame, value: str = "anom") -> DataFrame:
-    """Every calendar week with the value of the month it starts in (null where unpublished)."""
+def weeks_in_years(
+    rows: DataFrame, calendar: DataFrame, first_year: int, last_year: int, seen: Observation | None = None, day: str = "fecha_inicio"
+) -> DataFrame:
+    """Rows whose day is a week start of the given years, with their week.
+
+    ``seen`` receives from the job that writes the rows how many it read, had no week, were out of the years and stay.
+    """
+    starts = calendar.select(F.col("fecha_inicio").alias(day), "anio", "semana")
+    found = rows.join(F.broadcast(starts), day, "left")
+    lost, inside = F.col("anio").isNull(), F.coalesce(F.col("anio").between(first_year, last_year), F.lit(False))
+    if seen is not None:
+        found = found.observe(
+            seen, F.count(F.lit(1)).alias("leidas"), F.count_if(lost).alias("sin_semana"),
+            F.count_if(~lost & ~inside).alias("fuera_de_rango"), F.count_if(inside).alias("cargadas"))
+    return found.filter(inside)
+
+
+def monthly_to_weekly(monthly: DataFrame, calendar: DataFrame, value: str = "anom", seen: Observation | None = None) -> DataFrame:
+    """Every calendar week with the value of the month it starts in (null where unpublished).
+
+    ``seen`` receives from the job that writes the weeks how many there are and how many have no value.
+    """
     month = monthly.select(
         F.col("anio").alias("anio_mes"), F.col("mes").alias("mes_inicio"), value
     )
     weeks = calendar.withColumns(
         {"anio_mes": F.year("fecha_inicio"), "mes_inicio": F.month("fecha_inicio")}
     )
-    return weeks.join(F.broadcast(month), ["anio_mes", "mes_inicio"], "left").drop("anio_mes", "mes_inicio")
+    joined = weeks.join(F.broadcast(month), ["anio_mes", "mes_inicio"], "left").drop("anio_mes", "mes_inicio")
+    if seen is None:
+        return joined
+    return joined.observe(seen, F.count(F.lit(1)).alias("semanas"), F.count_if(F.col(value).isNull()).alias("sin_dato"))
 
 
 def step_back(rows: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:

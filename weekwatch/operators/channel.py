@@ -187,6 +187,14 @@ def zone_distribution(channel: DataFrame, by: Sequence[str]) -> DataFrame:
     return sure.groupBy(*by).agg(*counts).withColumn("total", sum((F.col(z) for z in ZONES[1:]), F.col(ZONES[0])))
 
 
+def same_week_summary(channel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cells of ``same_week_channel``, those whose upper quartile is 0 and their share, and those under the floors."""
+    zero = F.count_if(F.col("p75") == 0)
+    return channel.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("celdas"), zero.alias("q3_cero"), (zero / F.count(F.lit(1))).alias("fraccion_q3_cero"),
+        F.count_if(~F.col("suficiente")).alias("bajo_piso"))
+
+
 def same_week_channel(points: DataFrame, keys: Sequence[str], base_years: Sequence[int], min_obs: int = 12, min_years: int = 3) -> DataFrame:
     """Quartiles per key, week 1..52 and described year, without neighbour weeks.
 

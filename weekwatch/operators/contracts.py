@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 
 def require(rows: DataFrame, holds: Column, message: Column | str) -> DataFrame:
-    """The same rows; the job aborts at a row for which ``holds`` is false or unknown."""
+    """The same rows; the job aborts at a row for which ``holds`` is false or unknown.
+
+    The term on the partition is always true. It keeps the optimizer from merging later filters into this one, whose
+    constants would then stand in the condition and let offending rows go unseen.
+    """
     text = F.lit(message) if isinstance(message, str) else message
-    return rows.filter(F.when(F.coalesce(holds, F.lit(False)), True).otherwise(F.raise_error(text).cast("boolean")))
+    return rows.filter(F.when(F.coalesce(holds, F.lit(False)), F.spark_partition_id() >= 0).otherwise(F.raise_error(text).cast("boolean")))
 
 
 def named(what: str, columns: Sequence[str]) -> Column:
@@ -30,6 +34,12 @@ def matched(rows: DataFrame, dim: DataFrame, on: Sequence[str], what: str = "no
     return require(rows.join(known, list(on), "left"), F.col("_pareja").isNotNull(), named(what, on)).drop("_pareja")
 
 
+def without(rows: DataFrame, offences: DataFrame, message: Column | str) -> DataFrame:
+    """The same rows; the job aborts when ``offences`` has any, also when ``rows`` has none."""
+    stopped = require(offences, F.lit(False), message)
+    return rows.unionByName(stopped.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
+
+
 def unique(rows: DataFrame, keys: Sequence[str], what: str = "repeated key") -> DataFrame:
     """The same rows, each key of which must occur once."""
     others = [c for c in rows.columns if c not in keys]

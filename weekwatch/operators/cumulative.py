@@ -236,6 +236,12 @@ def nested_series(points: DataFrame, key: str) -> DataFrame:
     )
 
 
+def nested_states(documents: DataFrame) -> DataFrame:
+    """Per year: JSON of state -> number of documents, states in order."""
+    counts = documents.groupBy("anio", "estado").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("anio").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("estado", "n"))))).alias("estados"))
+
+
 def _quoted(text: Column) -> Column:
     """A text as a JSON string."""
     whole = F.to_json(F.array(text))

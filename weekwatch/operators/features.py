@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -136,6 +136,18 @@ def training_set(
     return joined.withColumn("motivo", reason)
 
 
+def usable_rows(rows: DataFrame, reasons: Sequence[str], seen: Observation | None = None) -> DataFrame:
+    """Rows of ``training_set`` that can be used.
+
+    ``seen`` receives from the job that writes them how many rows there were, stay, and were discarded for each reason.
+    """
+    if seen is not None:
+        rows = rows.observe(
+            seen, F.count(F.lit(1)).alias("candidatas"), F.count_if(F.col("motivo").isNull()).alias("filas_finales"),
+            *[F.count_if(F.col("motivo") == r).alias(r) for r in reasons])
+    return rows.filter(F.col("motivo").isNull()).drop("motivo")
+
+
 def discard_counts(rows: DataFrame, kept: str = "filas_finales") -> DataFrame:
     """Rows per reason; usable rows are counted under ``kept``."""
     return rows.groupBy(F.coalesce("motivo", F.lit(kept)).alias("motivo")).agg(F.count(F.lit(1)).alias("filas"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weekwatch.functions.classify import CLASSES
+from weekwatch.operators import contracts
 
 TEST, TRAIN = "prueba", "entrenamiento"
 
@@ -155,6 +156,38 @@ def fold_signatures(folds: DataFrame, key: str) -> DataFrame:
     )
 
 
+SIGNATURE_FIELDS = (
+    "estado", "marca", "n_entrena", "n_prueba", *(f"{part}_{c}" for part in ("entrena", "prueba") for c in CLASSES))
+
+
+def signature_difference(observed: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
+    """Where two tables of folds with state differ: key, external year, field, expected and observed value.
+
+    A fold that only one of them has is a difference of the field ``fold``.
+    """
+    on = [key, "anio_externo"]
+    fields = ["fold", *SIGNATURE_FIELDS]
+
+    def texts(folds: DataFrame, name: str) -> DataFrame:
+        values = [F.lit("presente"), *[F.col(f).cast("string") for f in SIGNATURE_FIELDS]]
+        return folds.select(*on, F.array(*values).alias(name))
+
+    both = texts(frozen, "esperado").join(texts(observed, "observado"), on, "full")
+    each = both.select(*on, F.posexplode(F.arrays_zip(
+        F.coalesce("esperado", F.array_repeat(F.lit("ausente"), len(fields))).alias("esperado"),
+        F.coalesce("observado", F.array_repeat(F.lit("ausente"), len(fields))).alias("observado"))).alias("_i", "_v"),
+        (F.col("esperado").isNotNull() & F.col("observado").isNotNull()).alias("_ambos"))
+    different = ~F.col("_v.esperado").eqNullSafe(F.col("_v.observado")) & (F.col("_ambos") | (F.col("_i") == 0))
+    return each.filter(different).select(
+        *on, F.get(F.array(*[F.lit(f) for f in fields]), F.col("_i")).alias("campo"), F.col("_v.esperado").alias("esperado"), F.col("_v.observado").alias("observado"))
+
+
+def require_signature(observed: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
+    """The observed folds; the job aborts with the fold and field that differ from the frozen ones."""
+    wrong = signature_difference(observed, frozen, key)
+    return contracts.without(observed, wrong, contracts.named("folds differ from the frozen ones", wrong.columns))
+
+
 def class_weights(assigned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Balanced weight n / (classes x n_class) of each class present in a fold's training rows."""
     train = assigned.filter(F.col("rol") == TRAIN)

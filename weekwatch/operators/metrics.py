@@ -119,13 +119,14 @@ def average_precision(points: DataFrame, groups: Sequence[str]) -> DataFrame:
 def threshold_sweep(preds: DataFrame, groups: Sequence[str], score: str, thresholds: Sequence[float]) -> DataFrame:
     """Metrics when rows whose score exceeds a threshold are overridden to the high class.
 
-    Rows are counted per (score, real, pred) first; only these counts meet the thresholds.
+    Rows are counted per bucket, the number of thresholds their score exceeds; a threshold then overrides the buckets
+    above its own. Only the few counts of each group meet the thresholds, never rows or scores.
     """
-    counts = preds.groupBy(*groups, score, "real", "pred").agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    overridden = counts.withColumn("umbral", cuts).withColumn(
-        "pred", F.when(F.col(score) > F.col("umbral"), HIGH).otherwise(F.col("pred"))
-    )
+    cuts = sorted({float(t) for t in thresholds})
+    exceeded = sum((F.when(F.col(score) > t, 1).otherwise(0) for t in cuts[1:]), F.when(F.col(score) > cuts[0], 1).otherwise(0))
+    counts = preds.groupBy(*groups, exceeded.alias("_cubo"), "real", "pred").agg(F.count(F.lit(1)).alias("n"))
+    places = F.inline(F.array(*[F.struct(F.lit(i).alias("_lugar"), F.lit(t).alias("umbral")) for i, t in enumerate(cuts)]))
+    overridden = counts.select("*", places).withColumn("pred", F.when(F.col("_cubo") > F.col("_lugar"), HIGH).otherwise(F.col("pred")))
     return class_metrics(overridden, [*groups, "umbral"], weight="n").select(
         *groups, "umbral", "recall_alto", "precision_alto", "aciertos_alto", "soporte_alto", "f1_macro"
     )

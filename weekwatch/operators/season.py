@@ -39,11 +39,14 @@ def first_alert(anomalies: DataFrame, keys: Sequence[str], threshold: float = 1.
     )
 
 
-def lead_time(starts: DataFrame, alerts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weeks from alert to real start (positive is early) with the reason when undefined."""
+def lead_time(starts: DataFrame, alerts: DataFrame, keys: Sequence[str], first_week_unreliable: bool = True) -> DataFrame:
+    """Weeks from alert to real start (positive is early) with the reason when undefined.
+
+    A start in week 1 is the mark of a degenerate year in regional series; national ones pass ``first_week_unreliable=False``.
+    """
     joined = starts.join(alerts.select(*keys, "anio", "semana_alerta"), [*keys, "anio"], "left")
     note = (
-        F.when(F.col("semana_inicio") == 1, NOTE_DEGENERATE)
+        F.when(F.lit(first_week_unreliable) & (F.col("semana_inicio") == 1), NOTE_DEGENERATE)
         .when(F.col("semana_inicio").isNull(), NOTE_NO_START)
         .when(F.col("semana_alerta").isNull(), NOTE_NO_ALERT)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weekwatch.functions.classify import first_break
-from weekwatch.functions.percentiles import floor_index_cut
+from weekwatch.operators.ranking import running_totals, values_at
 
 
 def weekly_series(fact: DataFrame, keys: Sequence[str], value: str = "conteo") -> DataFrame:
@@ -100,12 +100,12 @@ def yearly_correlation(series: DataFrame, labels: DataFrame, keys: Sequence[str]
     )
 
 
-def coverage(weeks: DataFrame, key: str, years: Sequence[int], min_weeks: int) -> DataFrame:
+def coverage(weeks: DataFrame, keys: Sequence[str], years: Sequence[int], min_weeks: int) -> DataFrame:
     """Keys with at least ``min_weeks`` weeks in every one of ``years``."""
-    per_year = weeks.filter(F.col("anio").isin(*years)).groupBy(key, "anio").agg(F.count(F.lit(1)).alias("n"))
+    per_year = weeks.filter(F.col("anio").isin(*years)).groupBy(*keys, "anio").agg(F.count(F.lit(1)).alias("n"))
     return (
         per_year.filter(F.col("n") >= min_weeks)
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("anios_completos"))
         .filter(F.col("anios_completos") == len(years))
     )
@@ -135,21 +135,18 @@ def volume_ranking(series: DataFrame, key: str, years: Sequence[int], min_weeks:
 
 
 def rank_by_volume(volumes: DataFrame, key: str) -> DataFrame:
-    """Rank of each key by volume.
-
-    The window has no partition on purpose: ``volumes`` has one row per region,
-    a catalogue, not a fact.
-    """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("volumen_total"), key)
-    return volumes.withColumn("puesto", F.row_number().over(order).cast("bigint"))
+    """Rank of each key by volume, equal volumes by key; no task sees more than one range of volumes."""
+    counted = running_totals(volumes.select("volumen_total", F.lit(1).alias("n")), "volumen_total", ["n"], descending=True)
+    equals = Window.partitionBy("volumen_total").orderBy(key)
+    ranked = volumes.join(counted.select("volumen_total", "n_antes"), "volumen_total")
+    return ranked.withColumn("puesto", (F.col("n_antes") + F.row_number().over(equals)).cast("bigint")).select(*volumes.columns, "puesto")
 
 
 def map_breaks(rows: DataFrame, value: str, shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """Legend bin of each region by quintile cuts of the known values.
 
-    The cuts come from one sorted array with one value per region of a map.
+    A cut is the value at floor(share * (n - 1)) of the ascending order, found by running totals, not in one array.
     """
-    ordered = rows.agg(F.array_sort(F.collect_list(value))).scalar()
-    cut = rows.withColumn("_orden", ordered)
-    breaks = [floor_index_cut(F.col("_orden"), share) for share in shares]
-    return cut.withColumn("tramo", first_break(F.col(value), breaks)).drop("_orden")
+    places = {f"c{i}": F.floor(F.lit(float(share)) * (F.col("n") - 1)) for i, share in enumerate(shares)}
+    cut = rows.withColumn("_cortes", values_at(rows, value, places).select(F.struct("*")).scalar())
+    return cut.withColumn("tramo", first_break(F.col(value), [F.col(f"_cortes.{c}") for c in places])).drop("_cortes")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekwatch.functions import calendar as cal
+from weekwatch.operators import contracts
 from weekwatch.operators.upsert import last_wins
 from weekwatch.sources.positions import positioned
-from weekwatch.sources.tables import SourceContractError, by_name
+from weekwatch.sources.tables import by_name
 
 # Column names of the extract and the codes of a national weekly row.
 COLUMNS = (
@@ -25,23 +26,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return by_name(spark, path, ", ".join(f"`{c}` string" for c in COLUMNS))
 
 
-def _abort_on(rows: DataFrame, message: str) -> None:
-    bad = rows.limit(1).collect()
-    if bad:
-        raise SourceContractError(f"{message}: {bad[0].asDict()}")
-
-
 def _weekly_national(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("S_res") == NATIONAL) & (F.col("T_res") == WEEKLY))
 
 
 def national_weeks(spark: SparkSession, path: str) -> DataFrame:
-    """Country-level weekly counts by start date; an unknown case definition aborts.
+    """Country-level weekly counts by start date; an unknown case definition aborts the job that reads them.
 
     The printed year is the calendar year and is ignored: the week decides later.
     """
     rows = _weekly_national(read(spark, path))
-    _abort_on(rows.filter(~F.col("case_definition_standardised").eqNullSafe(DEFINITION)), "unexpected case definition")
+    rows = contracts.require(
+        rows, F.col("case_definition_standardised").eqNullSafe(DEFINITION),
+        contracts.named("unexpected case definition", ["adm_0_name", "calendar_start_date", "case_definition_standardised"]))
     return rows.select(
         F.col("adm_0_name").alias("pais"),
         F.col("calendar_start_date").cast("date").alias("fecha_inicio"),
@@ -66,7 +63,8 @@ def strict_weeks(
     spark: SparkSession, path: str, filters: Mapping[str, str], first_year: int, last_year: int,
     rows_per_country: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Weekly counts under a frozen contract: seven-day intervals, no duplicates, expected row counts.
+    """Weekly counts under a frozen contract: seven-day intervals, no duplicates, expected row counts. The job that reads
+    them aborts where it is broken.
 
     ``anio`` and ``semana`` come from the start date; ``anio_declarado`` is the printed year.
     """
@@ -74,7 +72,9 @@ def strict_weeks(
     for column, value in filters.items():
         rows = rows.filter(F.col(column) == value)
     start, end = F.col("calendar_start_date").cast("date"), F.col("calendar_end_date").cast("date")
-    _abort_on(rows.filter(~F.datediff(end, start).eqNullSafe(6)), "interval is not seven days")
+    rows = contracts.require(
+        rows, F.datediff(end, start).eqNullSafe(6),
+        contracts.named("interval is not seven days", ["adm_0_name", "calendar_start_date", "calendar_end_date"]))
     week = cal.week_start(start)
     result = rows.select(
         F.col("adm_0_name").alias("pais"),
@@ -84,11 +84,11 @@ def strict_weeks(
         F.col("dengue_total").cast("double").alias("valor"),
         F.col("Year").cast("int").alias("anio_declarado"),
     ).filter(F.col("anio").between(first_year, last_year))
-    keys = ["pais", "anio", "semana"]
-    _abort_on(result.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate week")
+    result = contracts.unique(result, ["pais", "anio", "semana"], "duplicate week")
     if rows_per_country is not None:
         frozen = spark.createDataFrame(list(rows_per_country.items()), "esperado string, filas bigint")
         counted = result.groupBy("pais").agg(F.count(F.lit(1)).alias("n"))
         both = counted.join(frozen, F.col("pais").eqNullSafe(F.col("esperado")), "full")
-        _abort_on(both.filter(~F.col("n").eqNullSafe(F.col("filas"))), "row count differs from the frozen one")
+        wrong = both.filter(~F.col("n").eqNullSafe(F.col("filas")))
+        result = contracts.without(result, wrong, contracts.named("row count differs from the frozen one", ["pais", "n", "esperado", "filas"]))
     return result

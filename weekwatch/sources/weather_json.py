@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekwatch.operators import contracts
 from weekwatch.operators.weekly import guard_false_zero, to_long
-from weekwatch.sources.tables import SourceContractError
 
 # Names in the response and names of the stored variables.
 VARIABLES: Mapping[str, str] = {
@@ -44,19 +44,15 @@ def responses(spark: SparkSession, path: str, locations: DataFrame) -> DataFrame
     ``locations`` has (lote, posicion, region); the request number is the ``lote``
     partition of the path. A response holds the locations one request may name, so
     a file is small. A response without location, a location without response,
-    text that is no JSON and arrays of unequal length abort.
+    text that is no JSON and arrays of unequal length abort the job that reads them.
     """
     text = spark.read.text(path, wholetext=True)
     parsed = text.select("lote", F.posexplode_outer(F.from_json("value", RESPONSE)).alias("posicion", "r"))
     joined = parsed.join(locations, ["lote", "posicion"], "full")
-    lost = joined.filter("r IS NULL OR region IS NULL").select("lote", "posicion").limit(1).collect()
-    if lost:
-        raise SourceContractError(f"response and location do not meet: {lost[0].asDict()}")
-    rows = joined.select("region", "r.*")
-    uneven = ragged(rows).limit(1).collect()
-    if uneven:
-        raise SourceContractError(f"variables missing or of unequal length: {uneven[0].asDict()}")
-    return rows
+    met = contracts.require(
+        joined, F.col("r").isNotNull() & F.col("region").isNotNull(), contracts.named("response and location do not meet", ["lote", "posicion"]))
+    return contracts.require(
+        met.select("region", "r.*"), ~_ragged(), contracts.named("variables missing or of unequal length", ["region"]))
 
 
 def elevations(rows: DataFrame) -> DataFrame:
@@ -80,10 +76,15 @@ def points(rows: DataFrame) -> DataFrame:
     return to_long(daily(rows), ["region", "fecha"], list(VARIABLES.values()))
 
 
-def ragged(rows: DataFrame) -> DataFrame:
-    """Locations that lack a variable or whose arrays differ in length; must be empty."""
+def _ragged() -> Column:
+    """True for a location that lacks a variable or whose arrays differ in length."""
     n = F.size("daily.time")
     bad = F.lit(False)
     for name in VARIABLES:
         bad = bad | F.coalesce(F.size(f"daily.{name}") != n, F.lit(True))
-    return rows.filter(bad).select("region")
+    return bad
+
+
+def ragged(rows: DataFrame) -> DataFrame:
+    """Locations that lack a variable or whose arrays differ in length."""
+    return rows.filter(_ragged()).select("region")
