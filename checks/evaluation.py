@@ -610,3 +610,42 @@ def m22(spark, d):
 def q2(spark, d):
     rows, path = _stored(spark, d)
     return models.score_week(path, rows).select("region", "anio", "semana", "etiqueta", "pred", "p_bajo", "p_medio", "p_alto")
+
+
+def _scores(scored):
+    """Keys, sum of the rounded probabilities to three decimals, and whether the prediction has the highest one."""
+    facts = prediction_facts(scored.withColumn("semilla", F.lit(0)))
+    return facts.drop("semilla").withColumn("suma", F.round("suma", 2))
+
+
+@check("M20_importance_facts", "SELECT 9::BIGINT AS variables, 1::DOUBLE AS suma")
+def m20_facts(spark, d):
+    return m20(spark, d).agg(F.count(F.lit(1)).alias("variables"), F.round(F.sum("importancia"), 6).alias("suma"))
+
+
+@check(
+    "M21_comparison_facts",
+    f"""SELECT y AS anio_externo, algoritmo, (SELECT count(*) FROM modelables WHERE anio = y AND etiqueta = 'alto') AS soporte_alto, TRUE AS en_rango
+    FROM (SELECT unnest({list(EXTERNAL)}) AS y) CROSS JOIN (SELECT unnest(['bosque', 'refuerzo', 'logistica']) AS algoritmo)
+    WHERE EXISTS (FROM modelables WHERE anio = y)""",
+)
+def m21_facts(spark, d):
+    good = F.col("f1_macro").between(0.0, 1.0) & F.col("recall_alto").between(0.0, 1.0)
+    return m21(spark, d).select("anio_externo", "algoritmo", F.col("soporte_alto").cast("bigint").alias("soporte_alto"), good.alias("en_rango"))
+
+
+@check(
+    "M22_score_facts",
+    "SELECT region, anio, semana, etiqueta, 1::DOUBLE AS suma, TRUE AS es_maxima FROM modelables WHERE anio = 2000 AND semana = 20",
+)
+def m22_facts(spark, d):
+    return _scores(m22(spark, d))
+
+
+@check(
+    "Q2_risk_facts",
+    """SELECT region, anio, semana, etiqueta, 1::DOUBLE AS suma, TRUE AS es_maxima FROM modelables
+    WHERE (anio, semana) = (SELECT (anio, semana) FROM modelables ORDER BY anio DESC, semana DESC LIMIT 1)""",
+)
+def q2_facts(spark, d):
+    return _scores(q2(spark, d))

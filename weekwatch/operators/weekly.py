@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from weekwatch.functions import calendar as cal
 from weekwatch.operators import contracts
 
+#: Days keep six decimals; only the weekly value is rounded to three.
+DAILY = "decimal(16,6)"
+
 
 def guard_false_zero(days: DataFrame, hours: str = "precipitation_hours", total: str = "precipitation_sum") -> DataFrame:
     """Rain hours are unknown on days whose rain sum is unknown, even when printed as 0."""
@@ -30,7 +33,7 @@ def weekly_wide(days: DataFrame, keys: Sequence[str], variables: Sequence[str],
     start = cal.week_start(F.col(day))
     aggregates = []
     for v in variables:
-        aggregates += [F.sum(F.col(v).cast("decimal(10,3)")).alias(f"_s_{v}"), F.count(v).alias(f"_n_{v}")]
+        aggregates += [F.sum(F.col(v).cast(DAILY)).alias(f"_s_{v}"), F.count(v).alias(f"_n_{v}")]
     weeks = days.groupBy(*keys, start.alias("_inicio")).agg(*aggregates)
 
     def value(v: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekwatch.operators import contracts
-from weekwatch.operators.weekly import guard_false_zero, to_long
+from weekwatch.operators.weekly import DAILY, guard_false_zero, to_long
 
 # Names in the response and names of the stored variables.
 VARIABLES: Mapping[str, str] = {
@@ -66,7 +66,7 @@ def daily(rows: DataFrame) -> DataFrame:
     wide = days.select(
         "region",
         F.col("d.time").cast("date").alias("fecha"),
-        *[F.col(f"d.{name}").cast("decimal(10,3)").alias(stored) for name, stored in VARIABLES.items()],
+        *[F.col(f"d.{name}").cast(DAILY).alias(stored) for name, stored in VARIABLES.items()],
     )
     return guard_false_zero(wide)
 
