@@ -95,3 +95,42 @@ def test_ordinal_regression(spark, frame):
     none = quality.train(frame([(1, "x")]), ratings.limit(0), 3)
     assert [round(r.expected_grade, 6) for r in quality.grade(frame([(1, "x")]), none).collect()] == [1.0]
     assert quality.grade(frame([]), model).count() == 0
+
+
+def test_triple_tables_give_the_kernel():
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeidot") for _ in range(rng.randrange(1, 17))) for _ in range(3000)] + ["idi🙂ot", "", "ab", "ÑÑÑ", "idiot" * 3]
+    marks = ["idiot", "toad", "bicoded", "aaa", "décode"]
+    plain = toxicity.similarities(words, marks)
+    plain[plain < toxicity.FLOOR] = 0
+    at, table = toxicity.Marks(marks).near(words)
+    found = np.zeros_like(plain)
+    found[at] = table
+    assert np.abs(found - plain).max() < 1e-5 and len(at) == plain.any(axis=1).sum() > 100
+    many = [chr(200 + i) * 3 + chr(201 + i) for i in range(300)]  # too many characters for a direct table
+    assert toxicity.Marks(many).direct is None
+    at, table = toxicity.Marks(many).near(many)
+    assert list(at) == list(range(300)) and np.allclose(np.diag(table), 1)
+
+
+def test_featurer_is_the_nearest_piece_of_each_landmark():
+    marks = ["idiot", "stupid", "window"]
+    own = toxicity.Featurer(marks)
+    texts = ["an i.d.i.o.t here", "s t u p i d!", "nothing at all", "", "idiotidiotidiotidiot and windows", "an i.d.i.o.t here"]
+    got = own.features(texts)
+    for row, text in zip(got, texts):
+        pieces = [p for w in toxicity.windows(text) for p in toxicity._pieces(w)]
+        table = toxicity.similarities(pieces, marks) if pieces else np.zeros((1, 3))
+        table[table < toxicity.FLOOR] = 0
+        assert np.abs(row - table.max(axis=0)).max() < 1e-5
+
+
+def test_a_worker_keeps_only_the_latest_object():
+    from weekwatch.llm import worker
+
+    first = worker.held("a", list)
+    assert worker.held("a", list) is first
+    worker.held("b", list)
+    assert worker.held("a", list) is not first

@@ -14,13 +14,14 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from weekwatch.llm.worker import held
+
 #: Pre-tokens remembered by a Python worker before it starts again; bounds its memory, never the result.
 CACHE_PIECES = 300_000
 #: Bytes of new pre-tokens merged in one queue, characters split into pre-tokens at a time, rows of an Arrow batch.
@@ -199,9 +200,9 @@ def _small_batches(df: DataFrame) -> None:
         df.sparkSession.conf.set(key, str(BATCH_ROWS))
 
 
-@lru_cache(maxsize=2)
 def codec(rank_file: str, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
+    """The worker's codec for these ranks."""
+    return held(("bpe", rank_file, pattern), lambda: Codec(rank_file, pattern))
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

@@ -18,11 +18,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from weekwatch.llm.worker import held
 from weekwatch.session import stored
 
 ORDER, DECAY = 3, 0.7
@@ -30,9 +33,11 @@ ORDER, DECAY = 3, 0.7
 TRAIN_ROWS, LANDMARKS, LONGEST = 20_000, 128, 16
 #: Similarities below this, and those to words without so many of a landmark's characters, count as none; words
 #: remembered by a Python worker.
-FLOOR, MISSING, KNOWN_WORDS = 0.25, 0.4, 200_000
+FLOOR, MISSING, KNOWN_WORDS = 0.25, 0.4, 100_000
 #: Common words among the landmarks; words that landmarks are chosen from; similarity at which a word covers another.
 COMMON, CANDIDATES, NEAR, SURE = 8, 1_500, 0.5, 4
+#: Character triples looked up at a time.
+TRIPLE_CELLS, DIRECT_TRIPLES = 500_000, 1 << 22
 COSTS = (0.02, 0.005, 0.1, 0.5, 2.0, 10.0)
 _SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _EDGES = " .,;:!?\"'()[]{}|#*$%&-_/+=<>~^@`"
@@ -119,6 +124,98 @@ def similarities(words: list[str], marks: list[str]) -> np.ndarray:
     return out
 
 
+class Marks:
+    """Landmarks by the character triples they hold as gapped subsequences, with the weight of each.
+
+    The kernel of a word and all landmarks is the sum of its own triples' weights times theirs. A word that shares no
+    triple, or too few for ``FLOOR`` even if none of its triples met another, is done after a look at a table.
+    """
+
+    def __init__(self, marks: list[str]):
+        self.marks = marks
+        characters = sorted(set("".join(marks)))
+        self.base = len(characters) + 1
+        self.code = np.zeros(max(map(ord, characters), default=0) + 1, dtype=np.int32 if self.base**3 < 2**31 else np.int64)
+        self.code[[ord(c) for c in characters]] = np.arange(1, self.base)
+        weights: dict[int, np.ndarray] = {}
+        for m, mark in enumerate(marks):
+            i, j, k, w = _triples(len(mark))
+            c = self.code[[ord(x) for x in mark]] if mark else self.code[:0]
+            for triple, weight in zip(((c[i] * self.base + c[j]) * self.base + c[k]).tolist(), w.tolist()):
+                weights.setdefault(triple, np.zeros(len(marks), np.float32))[m] += weight
+        self.triples = np.array(sorted(weights), dtype=np.int64)
+        table = np.array([weights[t] for t in self.triples.tolist()], dtype=np.float64).reshape(-1, len(marks))
+        self.norms = np.maximum(np.sqrt((table**2).sum(axis=0)), 1e-9)
+        # each triple is in few landmarks: these, one triple after the other
+        line, self.mark = np.nonzero(table)
+        self.weight = table[line, self.mark]
+        self.count = np.append(np.bincount(line, minlength=len(table)), 0)
+        self.first = np.cumsum(self.count) - self.count
+        self.direct = None
+        if self.base**3 <= DIRECT_TRIPLES:
+            self.direct = np.full(self.base**3, len(self.triples), dtype=np.int32)
+            self.direct[self.triples] = np.arange(len(self.triples))
+        self.letters = _letters(_codes(marks, max(map(len, marks), default=1), -2))
+
+    def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words that have a similarity of ``FLOOR`` or more, and their similarities, lower ones as 0."""
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            if len(word) >= ORDER:
+                by_length.setdefault(len(word), []).append(i)
+        places, rows = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(self.marks)), np.float32)]
+        for length, own in by_length.items():
+            step = max(1, TRIPLE_CELLS // len(_triples(length)[0]))
+            for part in range(0, len(own), step):
+                at = np.array(own[part:part + step])
+                text = "".join(words[i] for i in at).encode("utf-32-le", "surrogatepass")
+                found, table = self._near(np.frombuffer(text, dtype=np.uint32).reshape(len(at), length).astype(np.int32))
+                places.append(at[found])
+                rows.append(table)
+        return np.concatenate(places), np.concatenate(rows)
+
+    def _near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j, k, w = _triples(codes.shape[1])
+        c = np.where(codes < len(self.code), self.code[np.minimum(codes, len(self.code) - 1)], 0)
+        place = self._places((c[:, i] * self.base + c[:, j]) * self.base + c[:, k])
+        word, t = np.nonzero(place < len(self.triples))
+        line = place[word, t]
+        many = self.count[line]
+        at = np.repeat(self.first[line] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cell = np.repeat(word * len(self.marks), many) + self.mark[at]
+        raw = np.bincount(cell, weights=np.repeat(w[t], many) * self.weight[at], minlength=len(codes) * len(self.marks))
+        raw = raw.reshape(len(codes), len(self.marks))
+        least = np.sqrt((w.astype(np.float64) ** 2).sum())  # the norm of a word whose triples all differ
+        some = np.flatnonzero((raw >= FLOOR * 0.999 * least * self.norms).any(axis=1))
+        raw = raw[some]
+        if not len(some):
+            return some, raw.astype(np.float32)
+        kept = codes[some]
+        letters = _letters(kept)
+        common = np.bitwise_count(letters[:, None] & self.letters[None, :])
+        enough = (common >= np.ceil(np.bitwise_count(self.letters) * (1 - MISSING))[None, :]) & (
+            common >= np.ceil(np.bitwise_count(letters) * (1 - MISSING))[:, None])
+        table = raw / np.maximum(np.sqrt(string_kernel(kept, kept))[:, None] * self.norms, 1e-9)
+        table = np.where(enough & (table >= FLOOR), table, 0).astype(np.float32)
+        active = table.any(axis=1)
+        return some[active], table[active]
+
+
+    def _places(self, triples: np.ndarray) -> np.ndarray:
+        """Line of each triple in the table; one past the last for those of no landmark."""
+        if self.direct is not None:
+            return self.direct[triples]
+        place = np.searchsorted(self.triples, triples)
+        return np.where(np.append(self.triples, -1)[place] == triples, place, len(self.triples))
+
+
+@lru_cache(maxsize=None)
+def _triples(length: int) -> tuple[np.ndarray, ...]:
+    """Places of all character triples of a word and the weight of each."""
+    i, j, k = (np.array(x, dtype=np.int64) for x in (zip(*combinations(range(length), 3)) if length >= 3 else ((), (), ())))
+    return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
+
+
 @dataclass
 class Model:
     marks: list[str]
@@ -136,30 +233,32 @@ class Featurer:
     """Landmark similarities of texts; remembers the words it has met."""
 
     def __init__(self, marks: list[str]):
-        self.marks, self.place, self.rows = marks, {}, np.zeros((0, len(marks)), np.float32)
+        self.marks, self.place, self.rows = Marks(marks), {}, np.zeros((0, len(marks)), np.float32)
 
     def learn(self, new: set[str]) -> None:
         if len(self.place) > KNOWN_WORDS:
             self.place, self.rows = {}, self.rows[:0]
-        words = list(new)
-        pieces = [_pieces(w) for w in words]
-        unique = list({p for ps in pieces for p in ps})
-        index = {p: i for i, p in enumerate(unique)}
-        table = similarities(unique, self.marks) if unique else self.rows[:0]
-        table[table < FLOOR] = 0
-        active = table.any(axis=1)
-        kept = [self.rows]
-        at = len(self.rows)
-        for word, ps in zip(words, pieces):
-            hit = [index[p] for p in ps if active[index[p]]]
-            if hit:
-                kept.append(table[hit].max(axis=0, keepdims=True))
-            self.place[word] = at if hit else -1
-            at += bool(hit)
-        self.rows = np.concatenate(kept)
+        self.place.update(dict.fromkeys(new, -1))
+        own = [w for w in new if len(w) <= LONGEST and w.isalnum()]  # a word that is its only piece
+        cut = {w: _pieces(w) for w in new.difference(own)}
+        words = own + list({p for ps in cut.values() for p in ps}.difference(own))
+        found, table = self.marks.near(words)
+        at = {words[i]: row for row, i in enumerate(found.tolist(), len(self.rows))}
+        self.rows = np.concatenate((self.rows, table))
+        self.place.update((w, at[w]) for w in own if w in at)
+        joined, end = [], len(self.rows)
+        for word, ps in cut.items():
+            hit = [at[p] for p in ps if p in at]
+            if len(hit) == 1:
+                self.place[word] = hit[0]
+            elif hit:
+                self.place[word] = end + len(joined)
+                joined.append(self.rows[hit].max(axis=0))
+        if joined:
+            self.rows = np.concatenate((self.rows, np.stack(joined)))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.marks)), np.float32)
+        out = np.zeros((len(texts), len(self.marks.marks)), np.float32)
         for part in range(0, len(texts), 500):
             bags = [windows(t) for t in texts[part : part + 500]]
             if len(self.place) > KNOWN_WORDS:
@@ -304,16 +403,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     return Model(marks, whiten @ w, bias, *fit_sigmoid(x @ w + bias, y))
 
 
-_featurers: dict[tuple[str, ...], Featurer] = {}
-
-
 def _featurer(marks: list[str]) -> Featurer:
     """The worker's featurer for these landmarks; that of another model makes room."""
-    key = tuple(marks)
-    if key not in _featurers:
-        _featurers.clear()
-        _featurers[key] = Featurer(marks)
-    return _featurers[key]
+    return held(("toxicity", *marks), lambda: Featurer(marks))
 
 
 def with_features(df: DataFrame, marks: list[str], text: str) -> DataFrame:

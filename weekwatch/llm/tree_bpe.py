@@ -21,13 +21,13 @@ import hashlib
 import heapq
 import json
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from weekwatch.llm.worker import held
 from weekwatch.session import stored
 
 #: Bytes of a leaf inside a task, tokens on each side of a first window, bytes up to which the plain loop encodes.
@@ -186,9 +186,9 @@ class _Known(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The worker's encoder for this file."""
+    return held(("tree_bpe", path), lambda: Encoder(path))
 
 
 def _digest(own: Encoder, packed: bytes, keep: bool) -> tuple:
