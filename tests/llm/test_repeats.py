@@ -57,3 +57,33 @@ def test_nulls_and_repeated_ids(frame):
     got = {(r.doc_id, r.n_bytes): len(r.kept) for r in repeats.remove_repeats(frame(rows), width=30).collect()}
     assert got == {(1, 40): 0, (2, 0): 0, (None, 41): 41, (2, 41): 1}
     assert repeats.remove_repeats(frame([]), width=30).count() == 0
+
+
+def test_thousands_of_rows_of_one_id_are_told_apart(spark):
+    """Every text of a shared id loses exactly what an earlier one (by hash of the text) has."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [own(rng.randrange(5, 60)) for _ in range(2990)] + [own(20) + passage + own(20) for _ in range(10)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = {bytes(r["kept"]): len(r["spans"]) for r in repeats.remove_repeats(df.withColumn("no", F.monotonically_increasing_id())).collect()}
+    holders = sorted((t for t in texts if passage in t), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    untouched = [t for t in texts if passage not in t] + holders[:1]
+    assert all(got.get(t.encode()) == 0 for t in untouched)
+    assert sum(n for n in got.values()) == 9
+
+
+def test_columns_of_any_name_stay(spark):
+    from pyspark.sql import functions as F
+
+    names = ["_doc", "_copy", "_text", "_row", "_packed", "_rows", "_r", "_hash", "_deal", "doc", "copy", "at", "n", "a.b"]
+    df = spark.createDataFrame([(1, "x" * 250), (1, "y" * 250), (2, "x" * 250)], "doc_id long, text string").select(
+        "*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    done = repeats.remove_repeats(df)
+    assert done.columns == ["doc_id", *names, "n_bytes", "spans", "kept"]
+    for r in done.collect():
+        assert [r[n] for n in names] == list(range(len(names))) and len(r["kept"]) in (1, 0)

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weekwatch.llm.suffix_array import repeated_windows
 from weekwatch.session import stored
@@ -32,7 +32,7 @@ from weekwatch.session import stored
 #: Bytes of a gram, bytes of a shard, different stretches of an anchor beyond which its windows go one by one.
 GRAM, SHARD_BYTES, MANY = 32, 2_000_000, 4_000
 #: Places of documents that share an id are kept apart by this many bits.
-_COPY_BITS = 40
+_COPY_BITS = 36
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,19 +205,32 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
     return out.union(alone.join(earliest, ["g", "w"]).filter(here != F.col("first")).select("doc", "at", "n"))
 
 
+def _numbered(named: DataFrame) -> DataFrame:
+    """Adds ``_copy``: the number of a text among the different texts of its id, in the order of their 128-bit hashes.
+
+    Texts of an id are dealt out by the first digits of their hash, so an id that many rows share fills no task.
+    """
+    named = named.withColumn("_hash", F.md5("_text"))
+    texts = named.select("_doc", "_hash", F.substring("_hash", 1, 3).alias("_deal")).distinct()
+    before = Window.partitionBy("_doc").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = texts.groupBy("_doc", "_deal").count().select("_doc", "_deal", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_doc", "_deal").orderBy("_hash"))
+    numbers = texts.join(offsets, ["_doc", "_deal"]).select("_doc", "_hash", (place + F.col("_before")).cast("int").alias("_copy"))
+    return named.join(stored(numbers), ["_doc", "_hash"]).drop("_hash")
+
+
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
-    """All columns of ``df`` with ``n_bytes``, ``spans`` (removed byte runs, each from start to stop) and ``kept`` (the
-    remaining bytes)."""
-    named = df.withColumn("_doc", F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)))).withColumn(
-        "_text", F.coalesce(F.col(text), F.lit("")))
+    """All columns of ``df`` but the text, with ``n_bytes``, ``spans`` (removed byte runs, each from start to stop) and
+    ``kept`` (the remaining bytes), which replace columns of these names."""
+    kept = [c for c in df.columns if c not in ("n_bytes", "spans", "kept", text)]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])  # so that no name of the input meets one of those below
+    named = df.select(row.alias("_row"), F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(-(2**63))).alias("_doc"),
+                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     shared = not named.groupBy("_doc").count().filter("count > 1").isEmpty()
-    copy = (F.pmod(F.xxhash64("_text"), F.lit(2**20)) + 1 if shared else F.lit(0)).cast("int")
-    named = named.withColumn("_copy", copy)
+    named = _numbered(named) if shared else named.withColumn("_copy", F.lit(0))
     docs = named.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), F.col("_text").alias("text"))
     runs = _by_document(marks(docs.dropDuplicates(["doc", "copy"]) if shared else docs, width), "n")
 
-    kept = [c for c in df.columns if c not in ("n_bytes", "spans", "kept", text)]
-
     @F.pandas_udf("n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
     def remove(packed: pd.Series, rows: pd.Series) -> pd.DataFrame:
         out = []
@@ -233,7 +246,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
             out.append((len(octets), [{"start": a, "stop": b} for a, b in spans], rest))
         return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
 
-    slim = named.select(*[F.col(f"`{c}`") for c in kept], "_doc", "_copy", _packed("_text").alias("_packed"))
+    slim = named.select("_row", "_doc", "_copy", _packed("_text").alias("_packed"))
     runs = runs.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("rows").alias("_rows"))
     done = slim.join(runs, ["_doc", "_copy"], "left").withColumn("_r", remove("_packed", "_rows"))
-    return done.select(*[F.col(f"`{c}`") for c in kept], "_r.n_bytes", "_r.spans", "_r.kept")
+    return done.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.col("_r")[c].alias(c) for c in ("n_bytes", "spans", "kept")])
