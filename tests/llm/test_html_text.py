@@ -59,3 +59,32 @@ def test_chrome_of_low_score_outside_content_goes():
     body = "".join(f"<p>Sentence {i}, of many, is long enough, and has marks; it is content.</p>" for i in range(20))
     got = html_text.main_text(f"<body><section>{links}</section><main><h2>Hi</h2>{body}</main></body>")
     assert got.startswith("Hi\n\nSentence 0") and "L3" not in got
+
+
+BODY = "".join(f"<p>Sentence {i}, of many, is long enough, and has marks; it is content.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout no-sidebar">%s</div>', '<div class="page has-sidebar"><article>%s</article></div>', '<div id="ad-free">%s</div>',
+    '<div class="social-policy">%s</div>', "<body><form action=x>%s</form></body>", '<div class="sidebar">%s</div>',
+    '<div class="widget"><div class="sidebar">short</div>%s</div>', '<div id=cookieNotice>We use cookies.</div><div>%s</div>',
+])
+def test_misleading_names_lose_nothing(page):
+    assert html_text.main_text(page % BODY) == "\n\n".join(f"Sentence {i}, of many, is long enough, and has marks; it is content." for i in range(12))
+
+
+def test_path_scores_decide_where_names_say_nothing():
+    page = f"<body><ul><li>Home<li>News<li>Sport</ul><div>{BODY}</div><div>Copyright me</div></body>"
+    got = html_text.main_text(page)
+    assert got.startswith("Sentence 0") and got.endswith("content.") and got.count("\n\n") == 11
+    assert [t for _, t in html_text.text_nodes(page)][:3] == ["Home", "News", "Sport"]  # no list of names has dropped them
+
+
+def test_a_class_of_two_words_in_an_article_drops_no_paragraph():
+    got = html_text.main_text(f'<article>{BODY}<p class="share price">The share price, in euro, fell; it rose again later.</p></article>')
+    assert got.endswith("rose again later.") and got.count("\n\n") == 12
+
+
+def test_marked_comments_longer_than_the_article_still_go():
+    page = f"<body><article><h1>Hi</h1><p>One, two.</p></article><div class=comments>{BODY}</div></body>"
+    assert html_text.main_text(page) == "Hi\n\nOne, two."
