@@ -66,3 +66,22 @@ def test_near_copies_with_repeated_and_missing_ids(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id or 0), r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert got == [(0, "lonely text of its own"), (1, "a b c d"), (1, "other words stand here")]
+
+
+def test_columns_of_any_name_stay_in_every_stage(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    build(spark, tmp_path)
+    names = ["_row", "_id", "_mark", "_group", "_score", "_doc", "_copy", "_text", "_bpe", "_z", "_r", "_rows", "_packed", "kept", "spans", "n_bytes", "rows",
+             "word", "component_id", "n_words", "n_hit", "items", "mark", "a.b"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").filter("doc_id > 120").select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    for again in (docs, docs.unionByName(docs.filter("doc_id = 201"))):
+        rows = again
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{name}-{rows is again}-{again is docs}"
+            stage(spark, rows, str(tmp_path)).write.parquet(path)
+            rows = spark.read.parquet(path)
+            assert rows.columns[:len(docs.columns)] == docs.columns, name
+            assert rows.count() > 0
+            for r in rows.collect():
+                assert [r[n] for n in names] == list(range(len(names))), name

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from weekwatch.llm.worker import held
 
 #: Pre-tokens remembered by a Python worker before it starts again; bounds its memory, never the result.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Bytes of new pre-tokens merged in one queue, characters split into pre-tokens at a time, rows of an Arrow batch.
-QUEUE_BYTES, SPLIT_CHARS, BATCH_ROWS = 2_000_000, 3_000_000, 1_000
+QUEUE_BYTES, SPLIT_CHARS, BATCH_ROWS = 1_000_000, 2_000_000, 1_000
 
 
 class RankQueue:

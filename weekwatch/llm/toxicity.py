@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from weekwatch.llm.worker import held
+from weekwatch.llm.worker import held, release
 from weekwatch.session import stored
 
 ORDER, DECAY = 3, 0.7
@@ -310,6 +310,7 @@ def landmarks(train: DataFrame, text: str, label: str, count: int = LANDMARKS) -
     """Words that set label 1 apart, chosen so that they cover its texts, then up to ``COMMON`` most common words."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             bags = [{p for w in windows(t or "") for p in _pieces(w) if ORDER <= len(p)} for t in pdf["text"]]
             yield pd.DataFrame({"word": [w for bag in bags for w in bag], "y": [y for y, bag in zip(pdf["y"], bags) for _ in bag],

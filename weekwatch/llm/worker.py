@@ -7,6 +7,11 @@ from collections.abc import Callable, Hashable
 _held: dict[Hashable, object] = {}
 
 
+def release() -> None:
+    """Forget what an earlier stage left; for functions that hold nothing themselves."""
+    _held.clear()
+
+
 def held(key: Hashable, make: Callable[[], object]):
     """The object of ``key``, made where the worker has none.
 
