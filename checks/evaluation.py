@@ -205,7 +205,8 @@ def w18(spark, d):
     "W18_persistence_over_all_labels",
     """SELECT t.region, t.clase, t.anio, t.semana, p.etiqueta AS persistencia FROM plegadas t LEFT JOIN filas p
     ON p.region = t.region AND p.clase = t.clase AND p.anio = t.anio AND p.semana = t.semana - 1
-    WHERE t.rol = 'prueba' AND t.semana % 5 <> 1""",
+    WHERE t.rol = 'prueba' AND t.semana % 5 <> 1 AND EXISTS (FROM plegadas e WHERE e.rol = 'entrenamiento' AND e.semana % 5 <> 1
+        AND e.clase = t.clase AND e.anio_externo = t.anio_externo)""",
 )
 def w18_all(spark, d):
     """Rows of every fifth week are discarded from the folds; their labels still serve as predecessors."""

@@ -111,8 +111,9 @@ def s4(spark, d):
 
 @check(
     "K4_location_attributes",
-    """SELECT r.region, r.nombre, r.region / 2 AS lat, r.region * -1.0::DOUBLE AS lon, r.region * 10.0::DOUBLE AS elevacion_m
-    FROM regiones r""",
+    """SELECT r.region, r.nombre, CASE WHEN hay THEN r.region / 2 END AS lat, CASE WHEN hay THEN r.region * -1.0::DOUBLE END AS lon,
+        CASE WHEN hay THEN r.region * 10.0::DOUBLE END AS elevacion_m
+    FROM (SELECT *, EXISTS (FROM daily WHERE daily.region = regiones.region) AS hay FROM regiones) r""",
 )
 def k4_locations(spark, d):
     missing = F.lit(None).cast("double")

@@ -150,14 +150,10 @@ def c7(spark, d):
 
 @check(
     "C8_step_back_weeks",
-    """WITH largo AS (SELECT DISTINCT region, clase, anio, n_semanas FROM ordinales)
-    SELECT o.region, o.clase, o.anio, o.semana, o.fecha, o.n_semanas,
-        CASE WHEN o.semana > 3 THEN o.anio WHEN p.n_semanas + o.semana > 3 THEN o.anio - 1
-             WHEN q.n_semanas + p.n_semanas + o.semana > 3 THEN o.anio - 2 END AS anio_previo,
-        CASE WHEN o.semana > 3 THEN o.semana - 3 WHEN p.n_semanas + o.semana > 3 THEN p.n_semanas + o.semana - 3
-             WHEN q.n_semanas + p.n_semanas + o.semana > 3 THEN q.n_semanas + p.n_semanas + o.semana - 3 END AS semana_previa
-    FROM ordinales o LEFT JOIN largo p ON p.region = o.region AND p.clase = o.clase AND p.anio = o.anio - 1
-    LEFT JOIN largo q ON q.region = o.region AND q.clase = o.clase AND q.anio = o.anio - 2""",
+    """WITH t AS (SELECT *, anio - dense_rank() OVER (PARTITION BY region, clase ORDER BY anio) AS tramo FROM ordinales),
+    p AS (SELECT *, row_number() OVER (PARTITION BY region, clase, tramo ORDER BY anio, semana) AS pos FROM t)
+    SELECT o.region, o.clase, o.anio, o.semana, o.fecha, o.n_semanas, b.anio AS anio_previo, b.semana AS semana_previa
+    FROM p o LEFT JOIN p b ON b.region = o.region AND b.clase = o.clase AND b.tramo = o.tramo AND b.pos = o.pos - 3""",
 )
 def c8(spark, d):
     return C.step_back(ordinal(spark, d), ["region", "clase"], 3)

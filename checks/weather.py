@@ -383,7 +383,7 @@ def w14(spark, d):
 
 _PROFILE = " UNION ALL ".join(
     f"SELECT '{v}' AS variable, round(min({v}), 5) AS minimo, round(max({v}), 5) AS maximo, round(avg({v}), 5) AS media, "
-    f"count(DISTINCT round({v}, 6)) AS valores_unicos FROM mecanicas" for v in features.MECHANISTIC
+    f"count(DISTINCT round({v}, 6)) AS valores_unicos FROM mecanicas HAVING count({v}) > 0" for v in features.MECHANISTIC
 )
 
 

@@ -92,9 +92,11 @@ def yearly_correlation(series: DataFrame, labels: DataFrame, keys: Sequence[str]
     totals = series.groupBy(*keys, "anio").agg(F.sum("valor").alias("total_anual"))
     highs = labels.groupBy(*keys, "anio").agg(F.count_if(F.col("etiqueta") == "alto").alias("altas"))
     joined = totals.join(highs, [*keys, "anio"])
-    r = F.corr("total_anual", F.col("altas").cast("double"))
+    # corr() itself divides by zero where one of the two never varies
+    high = F.col("altas").cast("double")
+    r = F.covar_pop("total_anual", high) / F.nullif(F.stddev_pop("total_anual") * F.stddev_pop(high), F.lit(0.0))
     return joined.groupBy(*keys).agg(
-        F.when(~F.isnan(r), r).alias("r"),
+        r.alias("r"),
         F.count(F.lit(1)).alias("anios"),
         F.count_if(F.col("altas") > 0).alias("anios_con_alta"),
     )
