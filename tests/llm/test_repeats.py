@@ -87,3 +87,32 @@ def test_columns_of_any_name_stay(spark):
     assert done.columns == ["doc_id", *names, "n_bytes", "spans", "kept"]
     for r in done.collect():
         assert [r[n] for n in names] == list(range(len(names))) and len(r["kept"]) in (1, 0)
+
+
+def test_a_shard_is_bounded_by_its_bytes(frame, monkeypatch):
+    """Few but long stretches of one anchor fill no shard; the result is that of the definition."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2_000)
+    sort = repeats.repeated_windows
+
+    def checked(pieces, keys, width):
+        assert sum(map(len, pieces)) <= 2_000
+        return sort(pieces, keys, width)
+
+    monkeypatch.setattr(repeats, "repeated_windows", checked)
+    texts = ["a" * n for n in (900, 700, 800, 50, 39)] + ["b" * 300 + "c", "d" + "b" * 200, "ab" * 600]
+    got = repeats.remove_repeats(frame(list(enumerate(texts))), width=40).collect()
+    assert {r.doc_id: bytes(r.kept) for r in got} == brute([(i, t.encode()) for i, t in enumerate(texts)], 40)
+
+
+def test_memory_of_a_shard():
+    """Sorting takes less than 70 bytes for each byte of a shard."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 10), dtype=np.uint8)) for _ in range(2_000)]
+    pieces = [b" ".join(words[k] for k in rng.integers(0, 2_000, 30)) for _ in range(3_000)]
+    tracemalloc.start()
+    suffix_array.repeated_windows(pieces, [(i, 0) for i in range(len(pieces))], 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * sum(map(len, pieces)), peak / sum(map(len, pieces))

@@ -7,9 +7,10 @@ Only anchors met twice can hide a repeat, so only their stretches go on; equal s
 are repeats as a whole), and the different stretches of an anchor meet in a shard, where a suffix array made by induced
 sorting and its permuted common prefixes find windows that start earlier.
 
-An anchor with very many different stretches (the rims of a passage that a large part of the corpus shares) would fill
-one shard; its windows are compared one by one over a shuffle on the whole window instead, which combines on the map
-side. Nothing is capped.
+An anchor with very many different stretches (the rims of a passage that a large part of the corpus shares), or with more
+bytes than a shard, would outgrow its shard; its windows are compared one by one over a shuffle on the whole window
+instead, which combines on the map side. An anchor with a good part of a shard's bytes has a shard of its own. Nothing is
+capped.
 
 Defined results: a null text is the empty text; texts shorter than a window lose nothing; rows with a null id come
 first, as one id; rows that share id and text count once and get the same result each; rows that share an id but not
@@ -132,11 +133,13 @@ def _stretches(df: DataFrame, width: int) -> DataFrame:
 
 
 def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """The rows of a document as one array, which its length bounds."""
+    """The rows of a document as one array for each column, which its length bounds; arrays of numbers reach Python as
+    such, without an object for each row."""
     copy = F.shiftright("at", _COPY_BITS).cast("int")
     place = F.col("at") - F.shiftleft(F.shiftright("at", _COPY_BITS), _COPY_BITS)
-    return rows.withColumn("copy", copy).withColumn("at", place).groupBy("doc", "copy").agg(
+    lists = rows.withColumn("copy", copy).withColumn("at", place).groupBy("doc", "copy").agg(
         F.collect_list(F.struct("at", *columns)).alias("rows"))
+    return lists.select("doc", "copy", *[F.col("rows")[c].alias(c) for c in ("at", *columns)])
 
 
 def marks(docs: DataFrame, width: int) -> DataFrame:
@@ -149,13 +152,16 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
     copies = found.join(different.filter("copies > 1").select("m", "s", "first"), ["m", "s"]).filter(
         here != F.col("first")).select("doc", "at", "n")
 
-    per_anchor = different.groupBy("m").agg(F.count("*").alias("kinds"))
+    per_anchor = different.groupBy("m").agg(
+        F.count("*").alias("kinds"), F.sum(F.col("n").cast("long") + width - 1).alias("octets"))
+    many = (F.col("kinds") > MANY) | (F.col("octets") > SHARD_BYTES)
     rivals = different.join(per_anchor, "m").filter("kinds > 1 OR again").select(
-        "m", "first.doc", "first.at", "n", (F.col("kinds") > MANY).alias("many"))
+        "m", "first.doc", "first.at", "n", many.alias("many"), (F.col("octets") > SHARD_BYTES // 4).alias("own"))
     rivals = stored(rivals)
-    octets = rivals.agg(F.sum(F.when(~F.col("many"), F.col("n") + width - 1))).first()[0] or 0
+    octets = rivals.agg(F.sum(F.when(~F.col("many"), F.col("n").cast("long") + width - 1))).first()[0] or 0
     shards = max(1, int(octets) // SHARD_BYTES)
-    wanted = _by_document(rivals, "m", "n", "many").join(
+    shard = F.when(F.col("own"), F.col("m")).otherwise(F.pmod("m", F.lit(shards).cast("long")))
+    wanted = _by_document(rivals.withColumn("g", shard), "g", "n", "many").join(
         docs.select("doc", "copy", _packed("text").alias("packed")), ["doc", "copy"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,21 +170,24 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
             exact = {"g": np.array(g, dtype=np.int64), "w": pd.array(w, dtype="Int64")}  # 64 bits do not fit a float
             return pd.DataFrame(exact | dict(zip(("doc", "at", "n", "piece"), rest)))
 
-        out = []
+        out, size = [], 0
         for pdf in batches:
-            for doc, copy, rows, packed in pdf[["doc", "copy", "rows", "packed"]].itertuples(index=False):
+            columns = (pdf[c] for c in ("doc", "copy", "g", "at", "n", "many", "packed"))
+            for doc, copy, *lists, packed in zip(*columns):
                 text, shift = _unpack(packed), int(copy) << _COPY_BITS
-                for r in rows:
-                    at, n = r["at"], r["n"]
-                    if not r["many"]:
-                        out.append((r["m"] % shards, None, doc, at + shift, n, text[at : at + n + width - 1]))
-                        continue
-                    for k in range(at, at + n):
+                for g, at, n, one_by_one in zip(*(x.tolist() for x in lists)):
+                    if not one_by_one:
+                        out.append((g, None, doc, at + shift, n, text[at : at + n + width - 1]))
+                        size += n + width - 1
+                    for k in range(at, at + n) if one_by_one else ():
                         high, low = divmod(xxhash.xxh3_128_intdigest(text[k : k + width]), 1 << 64)
                         out.append((high - (1 << 63), low - (1 << 63), doc, k + shift, 1, None))
-                if len(out) >= 20_000:
-                    yield frame(out)
-                    out = []
+                        if len(out) >= 20_000:
+                            yield frame(out)
+                            out, size = [], 0
+                    if len(out) >= 20_000 or size >= SHARD_BYTES:
+                        yield frame(out)
+                        out, size = [], 0
         if out:
             yield frame(out)
 
@@ -231,22 +240,23 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     docs = named.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), F.col("_text").alias("text"))
     runs = _by_document(marks(docs.dropDuplicates(["doc", "copy"]) if shared else docs, width), "n")
 
-    @F.pandas_udf("n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
-    def remove(packed: pd.Series, rows: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("n_bytes long, start array<long>, stop array<long>, kept binary")
+    def remove(packed: pd.Series, at: pd.Series, count: pd.Series) -> pd.DataFrame:
         out = []
-        for p, r in zip(packed, rows):
+        for p, places, counts in zip(packed, at, count):
             octets, spans = _unpack(p), []
-            for a, n in sorted((x["at"], x["n"]) for x in (r if r is not None else ())):
+            for a, n in sorted(zip(places.tolist(), counts.tolist())) if places is not None else ():
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], a + n + width - 1)
                 else:
                     spans.append([a, a + n + width - 1])
             edges = [0, *(e for s in spans for e in s), len(octets)]
             rest = b"".join(octets[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append((len(octets), [{"start": a, "stop": b} for a, b in spans], rest))
-        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
+            out.append((len(octets), edges[1:-1:2], edges[2:-1:2], rest))
+        return pd.DataFrame(out, columns=["n_bytes", "start", "stop", "kept"])
 
     slim = named.select("_row", "_doc", "_copy", _packed("_text").alias("_packed"))
-    runs = runs.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("rows").alias("_rows"))
-    done = slim.join(runs, ["_doc", "_copy"], "left").withColumn("_r", remove("_packed", "_rows"))
-    return done.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.col("_r")[c].alias(c) for c in ("n_bytes", "spans", "kept")])
+    runs = runs.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), F.col("at").alias("_at"), F.col("n").alias("_n"))
+    done = slim.join(runs, ["_doc", "_copy"], "left").withColumn("_r", remove("_packed", "_at", "_n"))
+    spans = F.arrays_zip(F.col("_r.start").alias("start"), F.col("_r.stop").alias("stop")).alias("spans")
+    return done.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_r.n_bytes"), spans, F.col("_r.kept"))

@@ -13,6 +13,11 @@ import numpy as np
 BUCKETS = 4096
 
 
+def _places(n: int) -> type:
+    """The smallest type that holds the places of ``n`` symbols; arrays of places are most of a shard's memory."""
+    return np.int32 if n < 2**31 else np.int64
+
+
 def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int) -> np.ndarray:
     """Order of all suffixes given an order of the LMS suffixes in each bucket (``seeds``, grouped by symbol)."""
     left: list[list[np.ndarray]] = [[] for _ in range(symbols)]
@@ -30,7 +35,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int)
 
     def waves(now: list[np.ndarray], c: int, to, want_s: bool) -> np.ndarray:
         out = []
-        at = np.concatenate(now) if now else np.empty(0, dtype=np.int64)
+        at = np.concatenate(now) if now else seeds[:0]
         while len(at):
             out.append(at)
             before = at[at > 0] - 1
@@ -38,7 +43,8 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int)
             same = text[before] == c
             deal(before[~same], to)
             at = before[same]
-        return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+        now.clear()
+        return np.concatenate(out) if out else seeds[:0]
 
     l_part: list[np.ndarray] = []
     for c in range(symbols):
@@ -50,13 +56,13 @@ def _induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int)
     buckets: list[np.ndarray] = [None] * symbols
     for c in range(symbols - 1, -1, -1):
         s_part = waves(right[c], c, right, True)
-        entries = l_part[c][::-1]
+        entries, l_part[c] = l_part[c][::-1], None
         before = entries[entries > 0] - 1
         before = before[is_s[before] & (text[before] < c)]
         deal(before, right)
         if c == 0:  # the end mark is the smallest suffix and nothing induces it
             s_part = np.concatenate((s_part, seeds[cuts[0] : cuts[1]]))
-        buckets[c] = np.concatenate((l_part[c], s_part[::-1]))
+        buckets[c] = np.concatenate((entries[::-1], s_part[::-1]))
     return np.concatenate(buckets)
 
 
@@ -79,24 +85,27 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """Start positions of the suffixes of ``text`` in ascending order; its last symbol is 0 and occurs nowhere else."""
     n = len(text)
+    kind = _places(n)
     if n == 1:
-        return np.zeros(1, dtype=np.int64)
+        return np.zeros(1, dtype=kind)
     if symbols > BUCKETS:
-        return _doubled(text)
+        return _doubled(text).astype(kind)
     differ = np.append(text[:-1] != text[1:], True)
-    end = np.where(differ, np.arange(n), n)  # last place of each run of equal symbols
+    end = np.where(differ, np.arange(n, dtype=kind), kind(n))  # last place of each run of equal symbols
     end = np.minimum.accumulate(end[::-1])[::-1]
     following = np.append(text[1:], -1)
     is_s = text < following[end]
     is_s[-1] = True
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    del differ, end, following
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(kind)
     by_symbol = lms[np.argsort(text[lms], kind="stable")]
     order = _induce(text, is_s, by_symbol, symbols)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     sorted_lms = order[is_lms[order]]
-    size = np.diff(np.append(lms, n - 1)) + 1  # an LMS substring ends at the start of the next one
-    length = np.zeros(n, dtype=np.int64)
+    del order, is_lms
+    size = np.diff(np.append(lms, kind(n - 1))) + 1  # an LMS substring ends at the start of the next one
+    length = np.zeros(n, dtype=kind)
     length[lms] = size
     a, b = sorted_lms[:-1], sorted_lms[1:]
     same = length[a] == length[b]
@@ -109,7 +118,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
         alive = alive[equal]
         alive = alive[length[a[alive]] > k]
     names = np.cumsum(np.concatenate(([0], ~same)))
-    name_of = np.zeros(n, dtype=np.int64)
+    name_of = length  # the lengths are needed no more
     name_of[sorted_lms] = names
     if names[-1] + 1 < len(lms):
         sorted_lms = lms[suffix_array(name_of[lms], int(names[-1]) + 1)]
@@ -124,18 +133,18 @@ def common_prefixes(octets: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     drop out at their first difference.
     """
     n = len(octets)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=order.dtype)
     before[order[1:]] = order[:-1]
     padded = np.concatenate((octets, np.zeros(most + 8, dtype=np.uint8)))
     word = np.zeros(n + most, dtype=np.uint64)
     for k in range(8):
         word = word << np.uint64(8) | padded[k : k + n + most].astype(np.uint64)
-    alive = np.flatnonzero((before >= 0) & (np.arange(n) + most <= n) & (before + most <= n))
+    alive = np.flatnonzero((before[: max(0, n - most + 1)] >= 0) & (before[: max(0, n - most + 1)] <= n - most))
     if most < 8:
         word >>= np.uint64(8 * (8 - most))
     for k in [*range(0, most - 7, 8), *([max(0, most - 8)] if most % 8 else [])]:
         alive = alive[word[alive + k] == word[before[alive] + k]]
-    out = np.full(n, -1, dtype=np.int64)
+    out = np.full(n, -1, dtype=order.dtype)
     out[alive] = before[alive]
     return out
 
@@ -155,12 +164,13 @@ def repeated_windows(pieces: list[bytes], keys: list[tuple[int, int]], width: in
     text[inside] = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int16) + 2
     text[-1] = 0
     order = suffix_array(text, 258)
-    piece = np.repeat(np.arange(len(pieces)), lengths + 1)
-    offset = np.arange(total - 1) - starts[piece]
+    piece = np.repeat(np.arange(len(pieces), dtype=order.dtype), lengths + 1)
+    offset = np.arange(total - 1, dtype=order.dtype) - starts.astype(order.dtype)[piece]
     valid = np.append(offset + width <= lengths[piece], False)
     octets = np.zeros(total, dtype=np.uint8)
     octets[inside] = (text[inside] - 2).astype(np.uint8)
     follows = common_prefixes(octets, order, width)
+    del text, inside, octets
     ranked = order[valid[order]]  # suffixes that share a whole window stand side by side
     rank_before = np.append(-1, ranked[:-1])
     joined = follows[ranked] >= 0
