@@ -61,9 +61,14 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 3, out: str = "
     return df.withColumn(out, simhash(F.coalesce(F.col(text), F.lit(""))))
 
 
-def pivot_table(values: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+def references(pivots: int = PIVOTS) -> np.ndarray:
+    """Reference fingerprints that depend on no data."""
+    return np.array([xxhash.xxh64_intdigest(b"pivot", i) for i in range(pivots)], dtype=np.uint64)
+
+
+def pivot_table(values: np.ndarray, pivots: int = PIVOTS, reference: np.ndarray | None = None) -> np.ndarray:
     """Hamming distance of each 64-bit value to each reference fingerprint."""
-    reference = np.array([xxhash.xxh64_intdigest(b"pivot", i) for i in range(pivots)], dtype=np.uint64)
+    reference = references(pivots) if reference is None else reference
     return np.bitwise_count(values[:, None] ^ reference[None, :]).astype(np.int8)
 
 
