@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,7 +13,7 @@ from checks.weather import weekly_wide, with_index
 from weekwatch.functions.classify import CLASSES
 from weekwatch.operators import channel, features, folds, forests, metrics, models, weekly
 from weekwatch.plans import adapters as A
-from weekwatch.session import new_path, stored
+from weekwatch.session import at_once, new_path, stored
 
 EXTERNAL = (1999, 2000, 2001)
 TARGETS = (1997, 1999, 2000, 2001)
@@ -584,12 +584,13 @@ def m20(spark, d):
 @check("M21_algorithm_comparison")
 def m21(spark, d):
     rows = stored(folds.forward_chaining(model_rows(spark, d), EXTERNAL, TARGETS, [A.EXCLUDED_YEAR]))
-    parts = []
-    for year in EXTERNAL:
+
+    def compared(year):
         own = rows.filter(F.col("anio_externo") == year)
         test = own.filter("rol = 'prueba'").select("anio_externo", "region", "anio", "semana", "etiqueta", *MODEL_NAMES)
-        parts.append(models.compare_algorithms(own.filter("rol = 'entrenamiento'"), test, MODEL_NAMES))
-    preds = reduce(DataFrame.unionByName, parts)
+        return models.compare_algorithms(own.filter("rol = 'entrenamiento'"), test, MODEL_NAMES)
+
+    preds = reduce(DataFrame.unionByName, at_once(spark, [partial(compared, year) for year in EXTERNAL]))
     scores = metrics.class_metrics(preds, ["anio_externo", "algoritmo"], real="etiqueta")
     return scores.select("anio_externo", "algoritmo", "f1_macro", "recall_alto", "soporte_alto")
 

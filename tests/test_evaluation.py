@@ -184,3 +184,23 @@ def test_model_queries_are_registered_whole(spark, monkeypatch):
     assert {r.anio_externo for r in ev.m21(spark, "").collect()} == {1999, 2000, 2001}
     assert asked == [([1997], [1999], 300, 10, 100, 2000), ([1997, 1999], [2000], 300, 10, 100, 2000),
                      ([1997, 1999, 2000], [2001], 300, 10, 100, 2000)]
+
+
+def test_algorithms_of_a_comparison_are_fitted_at_once(spark, monkeypatch):
+    """Each fit waits for the others to begin, and the result has all three."""
+    import threading
+
+    begun, made = threading.Barrier(3, timeout=60), models.Pipeline
+
+    class Waiting(made):
+        def fit(self, dataset, params=None):
+            begun.wait()
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(models, "Pipeline", Waiting)
+    rng = random.Random(2)
+    rows = [(i, ("bajo", "medio", "alto")[i % 3], i % 3 + rng.random(), rng.random()) for i in range(90)]
+    df = spark.createDataFrame(rows, "fila int, etiqueta string, a double, b double")
+    got = models.compare_algorithms(df.filter("fila >= 30"), df.filter("fila < 30"), ["a", "b"], trees=5, depth=3, rounds=2, iterations=20)
+    right = {r.algoritmo: r.n for r in got.filter("pred = etiqueta").groupBy("algoritmo").agg(F.count("*").alias("n")).collect()}
+    assert got.count() == 90 and set(right) == {"bosque", "refuerzo", "logistica"} and min(right.values()) > 20

@@ -7,6 +7,7 @@ another library's forest bit for bit, because bins and samples differ.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekwatch.functions.classify import CLASSES
+from weekwatch.session import at_once
 
 
 def with_label(rows: DataFrame) -> DataFrame:
@@ -89,21 +91,27 @@ def compare_algorithms(
     train: DataFrame, test: DataFrame, names: Sequence[str], trees: int = 300, depth: int = 10, seed: int = 42,
     rounds: int = 100, iterations: int = 2000,
 ) -> DataFrame:
-    """Predictions of forest, boosting and scaled logistic regression on one split."""
+    """Predictions of forest, boosting and scaled logistic regression on one split.
+
+    Fits are many small jobs one after another, so the algorithms and the classes of the boosting are fitted at once.
+    """
     require_rows(train)
     ready = with_weights(with_label(train)).cache()
     boosting = OneVsRest(
-        classifier=GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed), labelCol="label", featuresCol="features"
+        classifier=GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed), labelCol="label", featuresCol="features",
+        parallelism=len(CLASSES),
     )
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     logistic = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="peso", maxIter=iterations)
     forest = RandomForestClassifier(labelCol="label", weightCol="peso", numTrees=trees, maxDepth=depth, seed=seed)
     stages = {"bosque": [forest], "refuerzo": [boosting], "logistica": [scaler, logistic]}
-    parts = []
-    for name, own in stages.items():
-        model = Pipeline(stages=[_assembler(names), *own]).fit(ready)
+
+    def predicted(name: str) -> DataFrame:
+        model = Pipeline(stages=[_assembler(names), *stages[name]]).fit(ready)
         scored = model.transform(test).withColumn("pred", _class_name(F.col("prediction")))
-        parts.append(scored.select(*test.columns, "pred").withColumn("algoritmo", F.lit(name)))
+        return scored.select(*test.columns, "pred").withColumn("algoritmo", F.lit(name))
+
+    parts = at_once(train.sparkSession, [partial(predicted, name) for name in stages])
     ready.unpersist()
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
