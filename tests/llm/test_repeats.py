@@ -116,3 +116,37 @@ def test_memory_of_a_shard():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 70 * sum(map(len, pieces)), peak / sum(map(len, pieces))
+
+
+def test_halves_of_a_stretch_are_few():
+    """A stretch makes two parts, not a row for each window; a run of one letter makes one and names the rest."""
+    rng = np.random.default_rng(11)
+    octets = bytes(rng.integers(0, 256, 167, dtype=np.uint8))
+    anchor, start, count, _ = repeats.anchors(octets, 100)
+    for m, a, n in zip(anchor.tolist(), start.tolist(), count.tolist()):
+        parts, known = repeats.halves(octets[a : a + n + 99], m, 0, 69, 100)
+        assert len(parts) <= 2 and not known and sum(p[-1] for p in parts) == n
+    run = b"a" * 5_000
+    parts, known = repeats.halves(run, int(repeats.anchors(run, 100)[0][0]), 0, 69, 100)
+    assert [p[-2:] for p in parts] == [(0, 1)] and known == [[1, 4_900]]
+
+
+def test_rims_of_a_common_passage_make_few_rows(frame, monkeypatch):
+    """Documents that share a passage make a few rows each, not one for each window over its rims."""
+    monkeypatch.setattr(repeats, "MANY", 50)
+    made, store = [], repeats.stored
+
+    def counted(df):
+        out = store(df)
+        made.extend([out.count()] if "piece" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage = word(400)
+    texts = [word(150) + passage + word(150) for _ in range(300)]
+    got = repeats.remove_repeats(frame(list(enumerate(texts)))).collect()
+    assert {r.doc_id: bytes(r.kept) for r in got} == brute([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    assert made and max(made) <= 8 * len(texts), made

@@ -8,9 +8,10 @@ are repeats as a whole), and the different stretches of an anchor meet in a shar
 sorting and its permuted common prefixes find windows that start earlier.
 
 An anchor with very many different stretches (the rims of a passage that a large part of the corpus shares), or with more
-bytes than a shard, would outgrow its shard; its windows are compared one by one over a shuffle on the whole window
-instead, which combines on the map side. An anchor with a good part of a shard's bytes has a shard of its own. Nothing is
-capped.
+bytes than a shard, would outgrow its shard. Its stretches are halved by how far a window reaches before its anchor, and
+dealt out by the bytes that all windows of such a half share, which hold more than the anchor. Equal halves count once, one
+met once is done, and halves that are still too many are halved again; a window alone is shared whole, so this ends. An
+anchor with a good part of a shard's bytes has a shard of its own. Nothing is capped.
 
 Defined results: a null text is the empty text; texts shorter than a window lose nothing; rows with a null id come
 first, as one id; rows that share id and text count once and get the same result each; rows that share an id but not
@@ -20,6 +21,7 @@ the text are ordered by a hash of the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weekwatch.llm.suffix_array import repeated_windows
 from weekwatch.session import stored
 
-#: Bytes of a gram, bytes of a shard, different stretches of an anchor beyond which its windows go one by one.
+#: Bytes of a gram, bytes of a shard, different stretches of an anchor beyond which they are halved.
 GRAM, SHARD_BYTES, MANY = 32, 2_000_000, 4_000
 #: Places of documents that share an id are kept apart by this many bits.
 _COPY_BITS = 36
@@ -47,13 +49,9 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors(octets: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of windows with one anchor: anchor, first window, number of windows, whether its gram may repeat."""
+def _gram_values(octets: bytes, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each place."""
     data = np.frombuffer(octets, dtype=np.uint8)
-    gram = min(GRAM, width)
-    if len(data) < width:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, none, none.astype(bool)
     value, factor, done = data.astype(np.uint64) + np.uint64(1), np.array([_MIX]), 1
     whole, have = None, 0  # value of ``done`` bytes from each place; ``whole`` gathers the powers of two in ``gram``
     while True:
@@ -68,6 +66,16 @@ def anchors(octets: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     value ^= value >> np.uint64(29)
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(32)
+    return value
+
+
+def anchors(octets: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows with one anchor: anchor, first window, number of windows, whether its gram may repeat."""
+    gram = min(GRAM, width)
+    if len(octets) < width:
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none, none.astype(bool)
+    value = _gram_values(octets, gram)
     span = width - gram + 1
     anchor = _least(value, span)
     start = np.append(0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1)
@@ -80,6 +88,66 @@ def anchors(octets: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return own.view(np.int64), start, count, np.isin(own, twice)
 
 
+def halves(octets: bytes, m: int, lo: int, hi: int, width: int) -> tuple[list[tuple], list[list[int]]]:
+    """Parts of a stretch whose windows start ``lo`` to ``hi`` - 1 bytes before their first gram of the anchor ``m``.
+
+    A part is a run of windows with that gram at one place and a start in one half of the range: its range, hashes of
+    what its windows share and of all its bytes, first window, number of windows. Equal windows are in parts that share
+    the same bytes. Parts that repeat an earlier one are given as runs of windows only.
+    """
+    places = np.flatnonzero(_gram_values(octets, min(GRAM, width)).view(np.int64) == m)
+    window = np.arange(len(octets) - width + 1)
+    place = places[np.searchsorted(places, window)]
+    middle = (lo + hi) // 2
+    upper = place - window >= middle
+    start = np.append(0, np.flatnonzero((place[1:] != place[:-1]) | (upper[1:] != upper[:-1])) + 1)
+    parts, known, seen = [], [], set()
+    for a, b, p, far in zip(start.tolist(), [*start[1:].tolist(), len(window)], place[start].tolist(), upper[start].tolist()):
+        low, high = (middle, hi) if far else (lo, middle)
+        shared = xxhash.xxh3_64_intdigest(octets[p - low : p - high + 1 + width], seed=low << 32 | high)
+        whole = xxhash.xxh3_64_intdigest(octets[a : b + width - 1])
+        if (shared, whole) not in seen:
+            seen.add((shared, whole))
+            parts.append((low, high, shared - (1 << 63), whole - (1 << 63), a, b - a))
+        elif known and sum(known[-1]) == a:
+            known[-1][1] += b - a
+        else:
+            known.append([a, b - a])
+    return parts, known
+
+
+#: Parts of stretches: shard, or hash of what the windows share; hash of the bytes, null if the part is not to be halved;
+#: anchor, range of starts, place of the first window, windows, bytes. Windows that are repeats for certain have no ``g``.
+_PARTS = "g long, s long, m long, lo int, hi int, doc long, at long, n int, piece binary"
+
+
+def _part_frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows of ``_PARTS`` as frames of bounded size."""
+    names = [c.split()[0] for c in _PARTS.split(", ")]
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        columns = dict(zip(names, zip(*out)))
+        return pd.DataFrame(columns | {c: pd.array(columns[c], dtype="Int64") for c in "gs"})  # 64 bits do not fit a float
+
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1] or b"")
+        if len(out) >= 20_000 or size >= SHARD_BYTES:
+            yield frame(out)
+            out, size = [], 0
+    if out:
+        yield frame(out)
+
+
+def _part_rows(octets: bytes, m: int, lo: int, hi: int, doc: int, at: int, width: int) -> Iterator[tuple]:
+    parts, known = halves(octets, m, lo, hi, width)
+    for low, high, g, s, a, n in parts:
+        yield g, s, m, low, high, doc, at + a, n, octets[a : a + n + width - 1]
+    for a, n in known:
+        yield None, None, m, 0, 0, doc, at + a, n, None
+
+
 def _packed(text: str) -> Column:
     """The text as compressed bytes, which is what is shuffled."""
 
@@ -154,46 +222,38 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
 
     per_anchor = different.groupBy("m").agg(
         F.count("*").alias("kinds"), F.sum(F.col("n").cast("long") + width - 1).alias("octets"))
-    many = (F.col("kinds") > MANY) | (F.col("octets") > SHARD_BYTES)
+    too_many = (F.col("kinds") > MANY) | (F.col("octets") > SHARD_BYTES)
     rivals = different.join(per_anchor, "m").filter("kinds > 1 OR again").select(
-        "m", "first.doc", "first.at", "n", many.alias("many"), (F.col("octets") > SHARD_BYTES // 4).alias("own"))
+        "m", "first.doc", "first.at", "n", too_many.alias("many"), (F.col("octets") > SHARD_BYTES // 4).alias("own"))
     rivals = stored(rivals)
-    octets = rivals.agg(F.sum(F.when(~F.col("many"), F.col("n").cast("long") + width - 1))).first()[0] or 0
-    shards = max(1, int(octets) // SHARD_BYTES)
-    shard = F.when(F.col("own"), F.col("m")).otherwise(F.pmod("m", F.lit(shards).cast("long")))
+    shard = F.when(F.col("own") | F.col("many"), F.col("m")).otherwise(F.pmod("m", _shards(rivals, width)))
     wanted = _by_document(rivals.withColumn("g", shard), "g", "n", "many").join(
         docs.select("doc", "copy", _packed("text").alias("packed")), ["doc", "copy"])
+    span = width - min(GRAM, width) + 1
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(out: list[tuple]) -> pd.DataFrame:
-            g, w, *rest = zip(*out)
-            exact = {"g": np.array(g, dtype=np.int64), "w": pd.array(w, dtype="Int64")}  # 64 bits do not fit a float
-            return pd.DataFrame(exact | dict(zip(("doc", "at", "n", "piece"), rest)))
-
-        out, size = [], 0
-        for pdf in batches:
-            columns = (pdf[c] for c in ("doc", "copy", "g", "at", "n", "many", "packed"))
-            for doc, copy, *lists, packed in zip(*columns):
-                text, shift = _unpack(packed), int(copy) << _COPY_BITS
-                for g, at, n, one_by_one in zip(*(x.tolist() for x in lists)):
-                    if not one_by_one:
-                        out.append((g, None, doc, at + shift, n, text[at : at + n + width - 1]))
-                        size += n + width - 1
-                    for k in range(at, at + n) if one_by_one else ():
-                        high, low = divmod(xxhash.xxh3_128_intdigest(text[k : k + width]), 1 << 64)
-                        out.append((high - (1 << 63), low - (1 << 63), doc, k + shift, 1, None))
-                        if len(out) >= 20_000:
-                            yield frame(out)
-                            out, size = [], 0
-                    if len(out) >= 20_000 or size >= SHARD_BYTES:
-                        yield frame(out)
-                        out, size = [], 0
-        if out:
-            yield frame(out)
-
-    pieces = wanted.mapInPandas(cut, "g long, w long, doc long, at long, n int, piece binary")
+        def rows() -> Iterator[tuple]:
+            for pdf in batches:
+                columns = (pdf[c] for c in ("doc", "copy", "g", "at", "n", "many", "packed"))
+                for doc, copy, *lists, packed in zip(*columns):
+                    text, shift = _unpack(packed), int(copy) << _COPY_BITS
+                    for g, at, n, too_many in zip(*(x.tolist() for x in lists)):
+                        piece = text[at : at + n + width - 1]
+                        if too_many:
+                            yield from _part_rows(piece, g, 0, span, doc, at + shift, width)
+                        else:
+                            yield g, None, g, 0, 0, doc, at + shift, n, piece
+
+        yield from _part_frames(rows())
+
+    pieces = wanted.mapInPandas(cut, _PARTS)
     lonely = rivals.filter("many").isEmpty()
     pieces = pieces if lonely else stored(pieces)
+    ready = pieces.filter("s IS NULL AND g IS NOT NULL").select("g", "doc", "at", "piece")
+    if not lonely:
+        repeats, more = _halved(pieces.filter("s IS NOT NULL"), width)
+        copies = copies.union(pieces.filter("g IS NULL").select("doc", "at", "n")).union(repeats)
+        ready = ready.union(more)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = list(zip(pdf["doc"].tolist(), pdf["at"].tolist()))
@@ -204,14 +264,42 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
                 out += [(doc, at + int(later[a]), b - a) for a, b in zip(starts, [*starts[1:], len(later)])]
         return pd.DataFrame(out, columns=["doc", "at", "n"])
 
-    in_shards = pieces.filter("w IS NULL").select("g", "doc", "at", "piece").groupBy("g").applyInPandas(
-        compare, "doc long, at long, n int")
-    out = copies.union(in_shards)
-    if lonely:
-        return out
-    alone = pieces.filter("w IS NOT NULL").select("g", "w", "doc", "at", "n")
-    earliest = alone.groupBy("g", "w").agg(F.min(here).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    return out.union(alone.join(earliest, ["g", "w"]).filter(here != F.col("first")).select("doc", "at", "n"))
+    return copies.union(ready.groupBy("g").applyInPandas(compare, "doc long, at long, n int"))
+
+
+def _shards(rivals: DataFrame, width: int) -> Column:
+    """Number of shards for the rows that are not too many."""
+    octets = rivals.agg(F.sum(F.when(~F.col("many"), F.col("n").cast("long") + width - 1))).first()[0] or 0
+    return F.lit(max(1, int(octets) // SHARD_BYTES)).cast("long")
+
+
+def _halved(parts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc, at, n)`` of windows in copies of a part, and ``(g, doc, at, piece)`` of the different ones in shards."""
+    here, level, repeats, ready = F.struct("doc", "at"), 0, [], []
+
+    def halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _part_frames(row for pdf in batches for m, lo, hi, doc, at, piece in pdf.itertuples(index=False)
+                                for row in _part_rows(piece, m, lo, hi, doc, at, width))
+
+    while True:
+        level += 1
+        different = stored(parts.groupBy("g", "s").agg(
+            F.min(here).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("m", "lo", "hi", "n", "piece")]))
+        repeats.append(parts.join(different.filter("copies > 1").select("g", "s", "first"), ["g", "s"]).filter(
+            here != F.col("first")).select("doc", "at", "n"))
+        per_half = different.groupBy("g").agg(
+            F.count("*").alias("kinds"), F.sum(F.col("n").cast("long") + width - 1).alias("octets"))
+        too_many = (F.col("kinds") > MANY) | (F.col("octets") > SHARD_BYTES)
+        rivals = stored(different.join(per_half.filter("kinds > 1"), "g").select(
+            "g", "m", "lo", "hi", "first.doc", "first.at", "n", "piece", too_many.alias("many")))
+        ready.append(rivals.filter("NOT many").select(
+            F.xxhash64(F.lit(level), F.pmod("g", _shards(rivals, width))).alias("g"), "doc", "at", "piece"))
+        many = rivals.filter("many").select("m", "lo", "hi", "doc", "at", "piece")
+        if many.isEmpty():
+            return reduce(DataFrame.union, repeats), reduce(DataFrame.union, ready)
+        done = stored(many.mapInPandas(halve, _PARTS))
+        repeats.append(done.filter("g IS NULL").select("doc", "at", "n"))
+        parts = done.filter("s IS NOT NULL")
 
 
 def _numbered(named: DataFrame) -> DataFrame:
