@@ -85,3 +85,16 @@ def test_columns_of_any_name_stay_in_every_stage(spark, tmp_path):
             assert rows.count() > 0
             for r in rows.collect():
                 assert [r[n] for n in names] == list(range(len(names))), name
+
+
+def test_cutting_repeats_keeps_one_worker_for_each_task(spark):
+    """No stage of the plan has a second Python function; a task would hold a second worker's memory for it."""
+    from weekwatch.llm import repeats
+
+    docs = spark.createDataFrame([(1, "ä" * 120), (2, "xä" + "ä" * 120)], "doc_id long, text string")
+    passes = [df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+              for df in (corpus_pipeline.cut_repeats(spark, docs, ""), repeats.remove_repeats(docs))]
+    assert passes[0] == passes[1], passes
+    cut = repeats.remove_repeats(docs, width=99, whole_characters=True).orderBy("doc_id").collect()
+    assert [r.kept for r in cut] == [bytes(r.kept).decode("utf-8", "ignore") for r in
+                                     repeats.remove_repeats(docs, width=99).orderBy("doc_id").collect()]

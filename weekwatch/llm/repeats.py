@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weekwatch.llm.suffix_array import repeated_windows
+from weekwatch.llm.worker import release
 from weekwatch.session import stored
 
 #: Bytes of a gram, bytes of a shard, different stretches of an anchor beyond which they are halved.
@@ -168,6 +169,7 @@ def _anchor_rows(df: DataFrame, width: int) -> DataFrame:
     """Each anchor as often as stretches have it, and once more where its gram may repeat inside."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             for part in range(0, len(pdf), 1000):
                 out = [np.empty(0, dtype=np.int64)]
@@ -316,9 +318,11 @@ def _numbered(named: DataFrame) -> DataFrame:
     return named.join(stored(numbers), ["_doc", "_hash"]).drop("_hash")
 
 
-def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
+def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 100,
+                   whole_characters: bool = False) -> DataFrame:
     """All columns of ``df`` but the text, with ``n_bytes``, ``spans`` (removed byte runs, each from start to stop) and
-    ``kept`` (the remaining bytes), which replace columns of these names."""
+    ``kept`` (the remaining bytes), which replace columns of these names. With ``whole_characters`` ``kept`` is a text,
+    and a character that was cut in two goes as a whole."""
     kept = [c for c in df.columns if c not in ("n_bytes", "spans", "kept", text)]
     row = F.struct(*[F.col(f"`{c}`") for c in kept])  # so that no name of the input meets one of those below
     named = df.select(row.alias("_row"), F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(-(2**63))).alias("_doc"),
@@ -328,7 +332,8 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     docs = named.select(F.col("_doc").alias("doc"), F.col("_copy").alias("copy"), F.col("_text").alias("text"))
     runs = _by_document(marks(docs.dropDuplicates(["doc", "copy"]) if shared else docs, width), "n")
 
-    @F.pandas_udf("n_bytes long, start array<long>, stop array<long>, kept binary")
+    # the text is made here: a second Python function in the stage would keep a second worker for each task
+    @F.pandas_udf(f"n_bytes long, start array<long>, stop array<long>, kept {'string' if whole_characters else 'binary'}")
     def remove(packed: pd.Series, at: pd.Series, count: pd.Series) -> pd.DataFrame:
         out = []
         for p, places, counts in zip(packed, at, count):
@@ -340,6 +345,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                     spans.append([a, a + n + width - 1])
             edges = [0, *(e for s in spans for e in s), len(octets)]
             rest = b"".join(octets[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            rest = rest.decode("utf-8", "ignore") if whole_characters else rest
             out.append((len(octets), edges[1:-1:2], edges[2:-1:2], rest))
         return pd.DataFrame(out, columns=["n_bytes", "start", "stop", "kept"])
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+
 _held: dict[Hashable, object] = {}
 
 
 def release() -> None:
     """Forget what an earlier stage left; for functions that hold nothing themselves."""
     _held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def held(key: Hashable, make: Callable[[], object]):
@@ -19,6 +22,6 @@ def held(key: Hashable, make: Callable[[], object]):
     earlier stage remembers do not take the memory of the next.
     """
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
