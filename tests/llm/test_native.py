@@ -103,6 +103,18 @@ def _close(a, b):
     return a.keys() == b.keys() and all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) < 1e-5 for k in a)
 
 
+@pytest.mark.parametrize("size, heavy", [(6, 5), (6, 20_000), (1, 5), (0, 5)])
+def test_scores_of_every_word(frame, monkeypatch, size, heavy):
+    """With ``apart`` the vocabulary bounds a broadcast only: words beyond it keep their own counts."""
+    monkeypatch.setattr(ngram_lm, "HEAVY", heavy)
+    rng = random.Random(heavy + size)
+    rows = [(i, " ".join(rng.choice("a a a b c d e f g h ä".split()) for _ in range(rng.randrange(30)))) for i in range(30)]
+    rows += [(1, "a b c"), (2, None), (50, ""), (None, "a b zz"), (51, "once"), (52, "once zz zz zz ä ä")]
+    got = {r.doc_id: (r.n_words, round(r.log_score, 6)) for r in ngram_lm.score(frame(rows), size=size, apart=True).collect()}
+    assert _close(got, brute_scores(rows, 10**9, 2))
+    assert ngram_lm.score(frame([]), apart=True).count() == 0
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11))
